@@ -20,3 +20,36 @@ w0 AS (SELECT doc_id, p, md5(array_to_string(x[p + 1:p + {min_words}], ' ')) AS
     parts.append("islands AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM marked)")
     parts.append(f"spans AS (SELECT doc_id, min(p) AS s, max(p) + {min_words} AS e FROM islands GROUP BY doc_id, island)")
     return ",\n".join(parts) + "\nSELECT s.doc_id, s.s::INTEGER AS start_word, s.e::INTEGER AS end_word, max(v.n)::INTEGER AS level FROM spans s JOIN every v ON s.doc_id = v.doc_id AND v.p >= s.s AND v.p < s.e GROUP BY ALL"
+
+
+def near_pairs(threshold: float) -> str:
+    """All pairs by their cosines."""
+    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+pairs AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT id_a, id_b, round(s, 4) AS similarity FROM pairs WHERE s >= {threshold}"""
+
+
+def nearest(k: int) -> str:
+    """All pairs by their distances."""
+    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+pairs AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS rank FROM pairs)
+SELECT vec_id, rank::INTEGER AS rank, neighbor_id, round(d, 6) AS distance FROM ranked WHERE rank <= {k}"""
+
+
+def secrets(window: int, thresholds: dict[str, float], allowed: tuple[str, ...], unit: int) -> str:
+    """Entropy of every window by counting its characters anew."""
+    run = f"[A-Za-z0-9+/=_-]{{{window},}}"
+    allow = "|".join(f"(?:{p})" for p in allowed)
+    limits = " ".join(f"WHEN '{k}' THEN {v}" for k, v in thresholds.items())
+    return f"""WITH found AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '{run}') AS runs, string_split_regex(text, '{run}') AS between FROM documents WHERE regexp_matches(text, '{run}')),
+candidates AS (SELECT r, doc_id, i, runs[i] AS run, list_sum(list_transform(between[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(runs[1:i - 1], lambda v: length(v))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM found)),
+kinds AS (SELECT *, CASE WHEN NOT regexp_matches(run, '[0-9]') THEN 'alpha' WHEN regexp_full_match(run, '[0-9a-fA-F]+') THEN 'hex' WHEN regexp_full_match(run, '[A-Za-z0-9]+') THEN 'alnum' ELSE 'base64' END AS kind
+  FROM candidates WHERE regexp_matches(run, '[A-Za-z]') AND NOT regexp_full_match(run, '{allow}')),
+windows AS (SELECT *, unnest(range(0, length(run) - {window - 1})) AS p FROM kinds),
+chars AS (SELECT r, i, p, c, count(*) AS n FROM (SELECT r, i, p, unnest(string_split(substring(run, p + 1, {window}), '')) AS c FROM windows) GROUP BY ALL),
+sums AS (SELECT r, i, p, sum(round_even(n * log2(n) * {unit}, 0)) AS total FROM chars GROUP BY ALL),
+best AS (SELECT r, i, min(total) AS total, arg_min(p, (total, p)) AS p FROM sums GROUP BY ALL)
+SELECT k.doc_id, k.s::INTEGER AS start_char, (k.s + length(k.run))::INTEGER AS end_char, k.kind, (k.s + b.p)::INTEGER AS window_char, floor((log2({window}) - b.total / {unit} / {window}) * 1000)::INTEGER AS entropy_mbits
+FROM kinds k JOIN best b USING (r, i) WHERE b.total <= floor((log2({window}) - CASE k.kind {limits} END) * {window} * {unit})"""

@@ -117,23 +117,31 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK) -> I
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = ~SPACE) -> Words:
+    """Maximal runs of bytes of one kind within a text; bytes of kind 0 are between words."""
     if not len(data):
         none, zero = np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
         return Words(data, none, none, zero, zero)
-    inside = ~space[data]
-    begins, stops = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    stops[:-1] &= ~inside[1:]
+    kind = kinds[data]
+    begins, stops = kind != 0, kind != 0
+    change = kind[1:] != kind[:-1]
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < len(data))]
-    begins[edges] = inside[edges]
-    stops[edges - 1] = inside[edges - 1]
+    change[edges - 1] = True
+    begins[1:] &= change
+    stops[:-1] &= change
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     cut = np.searchsorted(starts, offsets)
     return Words(data, starts, ends, cut[:-1], np.diff(cut))
 
 
+def code_points(data: np.ndarray) -> np.ndarray:
+    """Number of characters before each byte, and in all."""
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    return before
+
+
 def slide(a: np.ndarray, width: int, op: Callable) -> np.ndarray:
     """op over each ``width`` neighbours: n - width + 1 values."""
     size, r = 1, a
