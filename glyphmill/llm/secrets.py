@@ -145,8 +145,12 @@ def redact(docs: DataFrame, text: str = "text", count: str | None = "n_chars", a
         """The changed text in a list of one; an empty list for an unchanged text."""
         data, offsets = tv.buffers(column)
         found: dict[int, list[tuple[int, int]]] = {}
-        for i, s, e, *_ in _per_text(data, offsets, allowed):
-            found.setdefault(i, []).append((s, e))
+        at = 0
+        while at < len(column):  # a few megabytes at a time
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + tv.CHUNK, "right")) - 1)
+            for i, s, e, *_ in _per_text(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], allowed):
+                found.setdefault(at + i, []).append((s, e))
+            at = to
         out: list[list[str]] = [[] for _ in range(len(column))]
         for i, spans in found.items():
             raw, at, parts = data[offsets[i] : offsets[i + 1]].tobytes(), 0, []
