@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textvec as tv
+from glyphmill.llm.scratch import small_batches
 
 BLOCK = 16 << 20
 OTHER_SPACE, BLANK, LETTER, NUMBER, OTHER = range(5)
@@ -297,5 +298,6 @@ def _encode(path: str, id_col: str):
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip): round_trip says that decoding the tokens gave the text's bytes."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text).alias("text")).mapInArrow(_encode(path, id_col), f"`{id_col}` {kind}, tokens array<int>, n_tokens int, round_trip boolean")

@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes, so that long texts don't fill the Python workers' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 class Scratch:
     """Parquet tables of one run of an operator.
 
@@ -28,6 +33,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.at, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._delete, self.at)
 

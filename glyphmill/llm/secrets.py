@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from glyphmill.llm import textvec as tv
+from glyphmill.llm.scratch import small_batches
 
 WINDOW, UNIT = 20, 1 << 20
 #: Bits a character.
@@ -132,6 +133,7 @@ def _scan(id_col: str, allow: tuple[str, ...]):
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", allow: tuple[str, ...] = ALLOWED) -> DataFrame:
     """(doc_id, start_char, end_char, kind, window_char, entropy_mbits) of each secret; the window is the first of the greatest entropy."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.filter(F.length(text) >= WINDOW).select(F.col(id_col), F.col(text).alias("text"))
     return source.mapInArrow(_scan(id_col, allow), f"`{id_col}` {kind}, start_char int, end_char int, kind string, window_char int, entropy_mbits int")
@@ -139,6 +141,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", allow: tup
 
 def redact(docs: DataFrame, text: str = "text", count: str | None = "n_chars", allow: tuple[str, ...] = ALLOWED) -> DataFrame:
     """docs with MARK in place of each secret; other texts, null ones too, stay as they are. ``count``, where there is such a column, is set anew for changed texts."""
+    small_batches(docs.sparkSession)
     allowed = _pattern(allow)
 
     def pieces(column: pa.Array) -> pa.Array:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.scratch import small_batches
+
 CHUNK, OVERLAP = 16_384, 512
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _loaded: dict[tuple[str, str], tuple] = {}
@@ -116,5 +118,6 @@ def _count(path: str, id_col: str, chunk: int, overlap: int):
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_tokens, n_chunks, n_widened) of each row; path: a file of ranks that every executor can read."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text).alias("text")).mapInArrow(_count(path, id_col, chunk, overlap), f"`{id_col}` {kind}, n_tokens long, n_chunks int, n_widened int")

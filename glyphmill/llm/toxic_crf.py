@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import textvec as tv
+from glyphmill.llm.scratch import small_batches
 
 FIT_ROWS, BLOCK, FLOOR, AROUND, SLOTS = 3000, 64, 0.1, 6, 1 << 16
 PUNCT = np.zeros(256, bool)
@@ -59,7 +60,7 @@ def shifted(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndar
     return before, after
 
 
-def marginals(odds: np.ndarray, first: np.ndarray, count: np.ndarray, move: np.ndarray) -> np.ndarray:
+def marginals(odds: np.ndarray, first: np.ndarray, count: np.ndarray, move: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Probability of state 1 at each place of several chains laid end to end.
 
     odds: state 1's emission over state 0's. move[a, b]: potential of going from a to b. Chains begin
@@ -68,18 +69,18 @@ def marginals(odds: np.ndarray, first: np.ndarray, count: np.ndarray, move: np.n
     if not len(odds):
         return np.zeros(0)
     (a, b), (c, d) = move
-    blocks = -(-count // BLOCK)
+    blocks = -(-count // block)
     n = int(blocks.sum())
     chain = np.repeat(np.arange(len(count)), blocks)
     nth = tv.spread(np.zeros(len(count), np.int64), blocks)
-    begin = first[chain] + nth * BLOCK
-    size = np.minimum(BLOCK, first[chain] + count[chain] - begin)
-    place = begin + np.arange(BLOCK)[:, None]
-    real = np.arange(BLOCK)[:, None] < size
+    begin = first[chain] + nth * block
+    size = np.minimum(block, first[chain] + count[chain] - begin)
+    place = begin + np.arange(block)[:, None]
+    real = np.arange(block)[:, None] < size
     e = np.where(real, odds[np.minimum(place, len(odds) - 1)], 1.0)
     opens = nth == 0
     p00, p01, p10, p11 = np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)
-    for t in range(BLOCK):
+    for t in range(block):
         x = e[t]
         if t == 0:  # a chain's first word is not moved to
             q = [np.where(opens, v, w) for v, w in ((1.0, a), (0.0, b * x), (0.0, c), (1.0 * x, d * x))]
@@ -101,14 +102,14 @@ def marginals(odds: np.ndarray, first: np.ndarray, count: np.ndarray, move: np.n
         i = starts[order[: np.searchsorted(-sizes, -(k + 1))]] + k
         r = leave[i + 1]
         leave[i] = (p10[i + 1] + p11[i + 1] * r) / (p00[i + 1] + p01[i + 1] * r)
-    forth = np.empty((BLOCK, n))
+    forth = np.empty((block, n))
     r = enter
-    for t in range(BLOCK):
+    for t in range(block):
         r = np.where(real[t], np.where(opens & (t == 0), e[t], e[t] * (b + d * r) / (a + c * r)), r)
         forth[t] = r
     out = np.zeros(len(odds))
     r = leave
-    for t in range(BLOCK - 1, -1, -1):
+    for t in range(block - 1, -1, -1):
         both = forth[t] * r
         keep = real[t]
         out[place[t][keep]] = (both / (1 + both))[keep]
@@ -143,9 +144,15 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 60) -> Field | None:
     kind = np.array(toxic, bool)
     if not kind.any() or kind.all():
         return None
-    data, offsets = tv.buffers(pa.array(texts, pa.large_string()))
-    w = tv.words(data, offsets)
-    h, text = word_codes(w), w.text
+    hashes, counts = [], []
+    batch = pa.record_batch([pa.array(texts, pa.large_string())], ["text"])
+    for _, data, offsets in tv.chunks(iter([batch]), "text"):  # a few megabytes at a time
+        part = tv.words(data, offsets)
+        hashes.append(word_codes(part))
+        counts.append(part.count)
+    h, count = np.concatenate(hashes), np.concatenate(counts)
+    last = np.cumsum(count)
+    start, text = last - count, np.repeat(np.arange(len(count)), count)
     pairs = np.unique(np.stack([text.astype(np.uint64), h]), axis=1)
     bad_words = _lexicon(pairs[1], kind[pairs[0].astype(np.int64)], int(kind.sum()), int((~kind).sum()))
     label = np.isin(h, bad_words) & kind[text]
@@ -154,12 +161,12 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 60) -> Field | None:
         return None
     rng = np.random.default_rng(7)
     centres = np.concatenate([hits, rng.choice(len(h), min(len(h), 2 * len(hits) + 4000), replace=False)])
-    low = np.maximum(w.first[text[centres]], centres - AROUND)
-    n = np.minimum(w.last[text[centres]], centres + AROUND + 1) - low
+    low = np.maximum(start[text[centres]], centres - AROUND)
+    n = np.minimum(last[text[centres]], centres + AROUND + 1) - low
     at = tv.spread(low, n)
     first = np.cumsum(n) - n
     y = label[at].astype(float)
-    before, after = shifted(h, w.first, w.last)
+    before, after = shifted(h, start, last)
     used = [np.unique(x[at], return_inverse=True) for x in (h, before, after)]
     weights = [np.zeros(len(u)) for u, _ in used]
     squares = [np.full(len(u), 1e-8) for u, _ in used]
@@ -170,7 +177,7 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 60) -> Field | None:
     for _ in range(rounds):
         score = np.clip(bias + sum(v[i] for v, (_, i) in zip(weights, used, strict=True)), -30, 30)
         odds, potential = np.exp(score), np.exp(move)
-        p = marginals(odds, first, n, potential)
+        p = marginals(odds, first, n, potential, 2 * AROUND + 1)
         error = (y - p) / len(centres)
         for v, s, (u, i) in zip(weights, squares, used, strict=True):
             g = np.bincount(i, error, len(u)) - 1e-5 * v
@@ -235,6 +242,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, fi
 
 def toxic_spans(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, score, n_spans, spans) of the documents with a toxic span."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, score double, n_spans int, spans array<struct<start_char:int,end_char:int,p:double>>"
     rows = sorted(training_rows(docs, labels, id_col, text, fit_rows).collect())
