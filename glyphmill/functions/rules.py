@@ -164,11 +164,11 @@ def _titles(lang: str) -> list[Sub]:
 
 
 def _singles(lang: str) -> list[Sub]:
-    before = r"""(?:(?<=[§s§])|(?<![\s\S])|(?<=[—–‒(\[{"'«“„‘‹]))"""
     out = []
     for w in dims.SINGLE_LETTERS[lang]:
         for x in (w, w.upper()):
-            out.append(Sub(rf"{before}{x} (?=[^§s§])", x + NBSP, x + " "))
+            before = rf"""(?:(?<=[§s§—–‒(\[{{"'«“„‘‹]{x})|(?<![\s\S]{x}))"""
+            out.append(Sub(rf"{x}{before} (?=[^§s§])", x + NBSP, x + " "))
     return out
 
 
