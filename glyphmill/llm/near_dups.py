@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphmill.llm import columns as cs
 from glyphmill.llm import textvec as tv
 from glyphmill.llm.scratch import Scratch
 
@@ -199,9 +200,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
     """docs with one document of each group of near-duplicates; those in no group stay, those with a null or blank text too."""
     scratch = Scratch(spark, "keep")
     found, _ = groups(scratch, docs, id_col, text, threshold)
-    columns = docs.columns
-    joined = docs.withColumn("__key", F.xxhash64(F.col(text))).join(found.select(F.col("key").alias("__key"), F.col("keeper").alias("__keeper"), F.col("first.id").alias("__first")), "__key", "left")
-    alone = F.col("__keeper").isNull() | F.col(text).isNull()
-    kept = joined.filter(~alone & (F.col("__key") == F.col("__keeper")) & F.col(id_col).eqNullSafe(F.col("__first")))
+    key, keeper, first = cs.free(docs, "__key", "__keeper", "__first")
+    joined = docs.withColumn(key, F.xxhash64(cs.col(text))).join(found.select(F.col("key").alias(key), F.col("keeper").alias(keeper), F.col("first.id").alias(first)), key, "left")
+    alone = F.col(keeper).isNull() | cs.col(text).isNull()
+    kept = joined.filter(~alone & (F.col(key) == F.col(keeper)) & cs.col(id_col).eqNullSafe(F.col(first)))
     # rows with the same id and text are one document
-    return joined.filter(alone).select(*columns).unionByName(kept.dropDuplicates(["__key"]).select(*columns))
+    return joined.filter(alone).select(*cs.every(docs)).unionByName(kept.dropDuplicates([key]).select(*cs.every(docs)))

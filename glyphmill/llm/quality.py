@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from glyphmill.llm import columns as cs
 from glyphmill.llm import textvec as tv
 from glyphmill.llm.scratch import Scratch
 
@@ -113,8 +114,8 @@ def _good(labels: DataFrame, id_col: str, fit_rows: int) -> DataFrame:
     return agreed.filter("q = 1").orderBy(F.xxhash64("__id"), "__id").limit(fit_rows).select("__id", F.lit(True).alias("good"))
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, int | None]:
-    """docs with __weight (x SCALE, null without a word) and __rank (its order with noise), and the least rank that stays (None: all with a word)."""
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, int | None, str, str]:
+    """docs with __weight (x SCALE, null without a word) and __rank (its order with noise), and the least rank that stays (None: all with a word), and the two columns' names, which docs doesn't have."""
     good = _good(labels, id_col, fit_rows)  # bounded by fit_rows, therefore broadcast
     source = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(good), "__id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = source.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
@@ -128,23 +129,24 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     ratio = np.log((target + prior) / (target.sum() + prior.sum()) / mean) if known else np.zeros(BUCKETS)
     table = np.rint(ratio * SCALE).astype(np.int64)
     key = F.struct(F.col(id_col), F.col(text))
-    weighed = docs.withColumn("__weight", weigher(table)(F.col(text)))
-    noisy = F.col("__weight") / F.lit(float(SCALE)) + gumbel(key)
-    ranked = weighed.withColumn("__rank", F.round(noisy * F.lit(float(1 << 32))).cast("long"))
+    log, rank = cs.free(docs, "__weight", "__rank")
+    weighed = docs.withColumn(log, weigher(table)(F.col(text)))
+    noisy = F.col(log) / F.lit(float(SCALE)) + gumbel(key)
+    ranked = weighed.withColumn(rank, F.round(noisy * F.lit(float(1 << 32))).cast("long"))
     if not known:
-        return ranked, None
+        return ranked, None, log, rank
     scratch = Scratch(spark, "quality")
-    ranks = scratch.put(ranked.filter("__weight is not null").select("__weight", "__rank"))
-    expected = ranks.agg(F.sum(F.least(F.lit(1.0), F.lit(float(share)) * F.exp(F.least(F.lit(50.0), F.col("__weight") / F.lit(float(SCALE))))))).first()[0]
+    ranks = scratch.put(ranked.filter(F.col(log).isNotNull()).select(F.col(log).alias("weight"), F.col(rank).alias("rank")))
+    expected = ranks.agg(F.sum(F.least(F.lit(1.0), F.lit(float(share)) * F.exp(F.least(F.lit(50.0), F.col("weight") / F.lit(float(SCALE))))))).first()[0]
     k = round(expected or 0)
-    least = kth_greatest(ranks, "__rank", k) if k else (1 << 63) - 1
+    least = kth_greatest(ranks, "rank", k) if k else (1 << 63) - 1
     scratch.drop(ranks)
-    return ranked, least
+    return ranked, least, log, rank
 
 
 def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, weight: str | None = None) -> DataFrame:
     """The selected rows of docs, with their weight in a column of that name if one is given."""
-    ranked, least = scored(spark, docs, labels, id_col, text, fit_rows)
-    stays = F.col("__weight").isNotNull() if least is None else F.col("__weight").isNotNull() & (F.col("__rank") >= F.lit(least))
-    extra = [F.round(F.col("__weight") / F.lit(float(SCALE)), 4).alias(weight)] if weight else []
-    return ranked.filter(stays).select(*docs.columns, *extra)
+    ranked, least, log, rank = scored(spark, docs, labels, id_col, text, fit_rows)
+    stays = F.col(log).isNotNull() if least is None else F.col(log).isNotNull() & (F.col(rank) >= F.lit(least))
+    extra = [F.round(F.col(log) / F.lit(float(SCALE)), 4).alias(weight)] if weight else []
+    return ranked.filter(stays).select(*cs.every(docs), *extra)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from glyphmill.llm import columns as cs
 from glyphmill.llm import textvec as tv
 from glyphmill.llm.scratch import small_batches
 
@@ -163,9 +164,10 @@ def redact(docs: DataFrame, text: str = "text", count: str | None = "n_chars", a
             out[i] = [(b"".join(parts) + raw[at:]).decode()]
         return pa.array(out, pa.list_(pa.string()))
 
-    marked = docs.withColumn("__new", F.arrow_udf(pieces, ArrayType(StringType()))(F.col(text)))
-    changed = F.size("__new") > 0
-    new = {text: F.when(changed, F.element_at("__new", 1)).otherwise(F.col(text))}
+    (new,) = cs.free(docs, "__new")
+    marked = docs.withColumn(new, F.arrow_udf(pieces, ArrayType(StringType()))(F.col(text)))
+    changed, after = F.size(new) > 0, F.element_at(new, 1)
+    columns = {text: F.when(changed, after).otherwise(F.col(text))}
     if count and count in docs.columns:
-        new[count] = F.when(changed, F.length(F.element_at("__new", 1)).cast(docs.schema[count].dataType)).otherwise(F.col(count))
-    return marked.withColumns(new).select(*docs.columns)
+        columns[count] = F.when(changed, F.length(after).cast(docs.schema[count].dataType)).otherwise(F.col(count))
+    return marked.withColumns(columns).select(*cs.every(docs))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphmill.llm import columns as cs
 from glyphmill.llm import textvec as tv
 from glyphmill.llm.scratch import Scratch
 
@@ -209,15 +210,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     return names.join(whole, "key").select(id_col, F.col("pos").alias("start_word"), F.col("to").alias("end_word"), F.col("length").alias("level"))
 
 
-def _cut(columns: list[str], text: str):
+def _cut(columns: list[str], text: str, whole: str, spans_of: str):
     """Takes the spans of words out of the texts; rows that are left blank go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in tv.chunks(batches, "__text"):
+        for rows, data, offsets in tv.chunks(batches, whole):
             w = tv.words(data, offsets)
-            texts: list = rows.column("__text").to_pylist()
+            texts: list = rows.column(whole).to_pylist()
             gone = np.zeros(len(texts), bool)
-            for i, spans in enumerate(rows.column("__cuts").to_pylist()):
+            for i, spans in enumerate(rows.column(spans_of).to_pylist()):
                 if spans:
                     raw, base, parts, at = data[offsets[i] : offsets[i + 1]].tobytes(), int(offsets[i]), [], 0
                     first, n = int(w.first[i]), int(w.count[i])
@@ -243,16 +244,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     scratch = Scratch(spark, "cuts")
     cuts = merged(repeated_levels(spark, docs, scratch, min_words, text), CUTS)
-    spans = cuts.groupBy("key").agg(F.collect_list(F.struct("pos", "to")).alias("__cuts")) if cuts is not None else docs.sparkSession.createDataFrame([], "key long, __cuts array<struct<pos:int,to:int>>")
-    shared = copies(docs, id_col, text, min_words).select("key", F.struct("keeper").alias("__keeper"))
-    what = scratch.put(spans.join(shared, "key", "full"))
+    key, keeper, spans_of, whole = cs.free(docs, "__key", "__keeper", "__cuts", "__text")
+    spans = cuts.groupBy("key").agg(F.collect_list(F.struct("pos", "to")).alias(spans_of)) if cuts is not None else spark.createDataFrame([], f"key long, {spans_of} array<struct<pos:int,to:int>>")
+    shared = copies(docs, id_col, text, min_words).select("key", F.struct("keeper").alias(keeper))
+    what = scratch.put(spans.join(shared, "key", "full").withColumnRenamed("key", key))
     columns = docs.columns
-    joined = docs.withColumn("__key", F.xxhash64(F.col(text))).join(what.withColumnRenamed("key", "__key"), "__key", "left")
-    joined = joined.filter(F.col(text).isNull() | F.col("__keeper").isNull() | F.col("__keeper.keeper").eqNullSafe(F.col(id_col)))
-    untouched = F.col("__cuts").isNull() | F.col(text).isNull()
-    same = joined.filter(untouched).select(*columns)
-    source = joined.filter(~untouched).withColumn("__text", F.col(text)).select(*columns, "__text", "__cuts")
-    changed = source.mapInArrow(_cut(columns, text), docs.schema)
+    joined = docs.withColumn(key, F.xxhash64(cs.col(text))).join(what, key, "left")
+    joined = joined.filter(cs.col(text).isNull() | F.col(keeper).isNull() | F.col(keeper)["keeper"].eqNullSafe(cs.col(id_col)))
+    untouched = F.col(spans_of).isNull() | cs.col(text).isNull()
+    same = joined.filter(untouched).select(*cs.every(docs))
+    source = joined.filter(~untouched).withColumn(whole, cs.col(text)).select(*cs.every(docs), whole, spans_of)
+    changed = source.mapInArrow(_cut(columns, text, whole, spans_of), docs.schema)
     if count and count in columns:
-        changed = changed.withColumn(count, F.length(text).cast(docs.schema[count].dataType))
+        changed = changed.withColumn(count, F.length(cs.col(text)).cast(docs.schema[count].dataType))
     return same.unionByName(changed)
