@@ -70,15 +70,17 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, codes: np.ndarray = CODES, strip: np.ndarray | None = None) -> np.ndarray:
-        """Of each word; strip: byte classes that are left out at the words' ends, unless nothing else is there."""
-        s, e = self.starts, self.ends
-        if strip is not None and len(s):
-            s, e = s.copy(), e.copy()
-            for _ in range(3):
-                e -= strip[self.data[e - 1]] & (e - s > 1)
-            s += strip[self.data[s]] & (e - s > 1)
-        return Hasher(codes[self.data]).of(s, e)
+    def hashes(self, codes: np.ndarray = CODES) -> np.ndarray:
+        """Of each word."""
+        return Hasher(codes[self.data]).of(self.starts, self.ends)
+
+    def stripped(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' starts and ends without up to three bytes of these kinds at the end and one at the start, unless nothing else is there."""
+        s, e = self.starts.copy(), self.ends.copy()
+        for _ in range(3):
+            e -= kinds[self.data[e - 1]] & (e - s > 1)
+        s += kinds[self.data[s]] & (e - s > 1)
+        return s, e
 
     @property
     def text(self) -> np.ndarray:

@@ -1,22 +1,26 @@
 """Toxic spans by a linear-chain conditional random field over words, with two states.
 
 Documents are labelled, words are not: a word of a toxic document is labelled toxic where documents
-with that word are toxic far more often than others (``_lexicon``). The field is fitted on at most
-``fit_rows`` labelled documents of each kind, those with the least hashes of their ids; its features
-are the word and both neighbours, in lower case and without punctuation at the ends. All texts are
+with that word, or with one that begins like it, are toxic far more often than others (``_lexicon``).
+The field is fitted on at most ``fit_rows`` labelled documents of each kind, those with the least
+hashes of their ids; its features are the word, its first 4 to 7 bytes, as insults are inflected and
+compounded, and both neighbours, in lower case and without punctuation at the ends. All texts are
 then tagged whole: forward and backward recursions run over blocks of ``BLOCK`` words at once, whose
 transfer matrices are chained, and give the exact marginal of each word.
 
-A document's score is the probability that a span is toxic, 1 - product of (1 - marginal) over the
-words with a marginal of at least ``FLOOR``; spans are runs of words with a marginal of at least 1/2.
+A document's evidence is the sum of the log odds of its words with a marginal of at least 1/2; its
+score is the logistic function of the evidence, fitted on the same documents at the labels' natural
+shares, so that one word that also occurs in clean texts is not enough, and several are. Spans are runs
+of words with a marginal of at least 1/2.
 
-Defined results: a document without such a span isn't returned; null and blank texts have none;
+Defined results: a document with a score under 1/2 isn't returned; null and blank texts have none;
 repeated rows each give theirs; offsets count characters. Without labels of both kinds there is
 nothing to fit and no result. A document with contradictory labels isn't fitted on.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +31,17 @@ from pyspark.sql import functions as F
 from glyphmill.llm import textvec as tv
 from glyphmill.llm.scratch import small_batches
 
-FIT_ROWS, BLOCK, FLOOR, AROUND, SLOTS = 3000, 64, 0.1, 6, 1 << 16
+FIT_ROWS, BLOCK, AROUND, RARE, SLOTS = 3000, 64, 3, 10, 1 << 16
+PREFIXES = (4, 5, 6, 7)
 PUNCT = np.zeros(256, bool)
 PUNCT[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
-def word_codes(w: tv.Words) -> np.ndarray:
-    return w.hashes(tv.LOWER, PUNCT)
+def word_codes(w: tv.Words) -> list[np.ndarray]:
+    """Hashes of the words and of their beginnings of PREFIXES bytes; 0 for words that aren't longer."""
+    s, e = w.stripped(PUNCT)
+    hasher = tv.Hasher(tv.LOWER[w.data])
+    return [hasher.of(s, e), *(np.where(e - s > k, hasher.of(s, np.minimum(e, s + k)), np.uint64(0)) for k in PREFIXES)]
 
 
 class Table:
@@ -118,16 +126,39 @@ def marginals(odds: np.ndarray, first: np.ndarray, count: np.ndarray, move: np.n
 
 
 class Field:
-    """The fitted field: tables of weights of the word and its neighbours, a bias and log potentials of moves."""
+    """The fitted field: tables of weights of the word, its beginnings and neighbours, a bias and log potentials of moves; the line from evidence to a document's log odds."""
 
     def __init__(self, tables: list[Table], bias: float, move: np.ndarray):
         self.tables, self.bias, self.move = tables, bias, np.exp(move)
+        self.slope, self.base = 1.0, 0.0
+
+    def words(self, forms: list[np.ndarray], first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Marginals of words by the hashes of their forms."""
+        score = np.full(len(forms[0]), self.bias)
+        for table, features in zip(self.tables, [*forms, *shifted(forms[0], first, first + count)], strict=True):
+            score += table.of(features)
+        return marginals(np.exp(np.clip(score, -30, 30)), first, count, self.move)
 
     def tag(self, w: tv.Words) -> np.ndarray:
-        h = word_codes(w)
-        before, after = shifted(h, w.first, w.last)
-        score = self.bias + self.tables[0].of(h) + self.tables[1].of(before) + self.tables[2].of(after)
-        return marginals(np.exp(np.clip(score, -30, 30)), w.first, w.count, self.move)
+        return self.words(word_codes(w), w.first, w.count)
+
+    def documents(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.base + self.slope * evidence, -30, 30)))
+
+    def calibrate(self, evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
+        """Logistic regression by Newton's method, with a weak pull to evidence as it is."""
+        x = np.stack([np.minimum(evidence, 30), np.ones_like(evidence)], 1)
+        v, pull = np.array([1.0, 0.0]), np.diag([1.0, 0.1])
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+            g = x.T @ (weight * (toxic - q)) - pull @ (v - [1.0, 0.0])
+            v = v + np.clip(np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + pull, g), -2, 2)
+        self.slope, self.base = max(float(v[0]), 0.05), float(v[1])
+
+
+def log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.minimum(p, 1 - 1e-6)
+    return np.log(p / (1 - p))
 
 
 def _lexicon(words: np.ndarray, toxic: np.ndarray, docs_toxic: int, docs_clean: int) -> np.ndarray:
@@ -139,35 +170,62 @@ def _lexicon(words: np.ndarray, toxic: np.ndarray, docs_toxic: int, docs_clean:
     return every[much]
 
 
-def fit(texts: list[str], toxic: list[bool], rounds: int = 60) -> Field | None:
+def _often(features: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features and each place's; those in fewer places than ``least`` are all feature 0, which has no weight."""
+    every, inverse, n = np.unique(features, return_inverse=True, return_counts=True)
+    keep = (n >= least) & (every != 0)
+    number = np.where(keep, np.cumsum(keep), 0)
+    return np.concatenate([np.zeros(1, np.uint64), every[keep]]), number[inverse]
+
+
+def fit(texts: list[str], toxic: list[bool], share: float | None = None) -> Field | None:
+    return fit_batches(iter([pa.record_batch([pa.array(texts, pa.large_string()), pa.array(toxic, pa.bool_())], ["text", "toxic"])]), share)
+
+
+def fit_batches(batches: Iterator[pa.RecordBatch], share: float | None = None, rounds: int = 120) -> Field | None:
     """By gradient steps on the likelihood of the words' labels, around labelled words and at as many places without."""
-    kind = np.array(toxic, bool)
-    if not kind.any() or kind.all():
-        return None
-    hashes, counts = [], []
-    batch = pa.record_batch([pa.array(texts, pa.large_string())], ["text"])
-    for _, data, offsets in tv.chunks(iter([batch]), "text"):  # a few megabytes at a time
+    hashes: list[list[np.ndarray]] = [[] for _ in range(1 + len(PREFIXES))]
+    distinct: list[list[np.ndarray]] = [[] for _ in hashes]
+    bad: list[list[np.ndarray]] = [[] for _ in hashes]
+    counts, kinds = [], []
+    for rows, data, offsets in tv.chunks(batches, "text"):  # a few megabytes at a time
         part = tv.words(data, offsets)
-        hashes.append(word_codes(part))
+        own = rows.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
         counts.append(part.count)
-    h, count = np.concatenate(hashes), np.concatenate(counts)
+        kinds.append(own)
+        text = part.text
+        for i, h in enumerate(word_codes(part)):
+            hashes[i].append(h)
+            # each feature once a text
+            order = np.lexsort((h, text))
+            t, u = text[order], h[order]
+            fresh = u != 0
+            fresh[1:] &= (u[1:] != u[:-1]) | (t[1:] != t[:-1])
+            distinct[i].append(u[fresh])
+            bad[i].append(own[t[fresh]])
+    kind = np.concatenate(kinds) if kinds else np.zeros(0, bool)
+    if not kind.any() or kind.all():
+        return None
+    forms, count = [np.concatenate(h) for h in hashes], np.concatenate(counts)
     last = np.cumsum(count)
     start, text = last - count, np.repeat(np.arange(len(count)), count)
-    pairs = np.unique(np.stack([text.astype(np.uint64), h]), axis=1)
-    bad_words = _lexicon(pairs[1], kind[pairs[0].astype(np.int64)], int(kind.sum()), int((~kind).sum()))
-    label = np.isin(h, bad_words) & kind[text]
+    label = np.zeros(len(text), bool)
+    for h, words, of in zip(forms, distinct, bad, strict=True):
+        label |= np.isin(h, _lexicon(np.concatenate(words), np.concatenate(of), int(kind.sum()), int((~kind).sum())))
+    # the same words in clean texts are what the weights have to be held against
     hits = np.flatnonzero(label)
+    label &= kind[text]
     if not len(hits):
         return None
     rng = np.random.default_rng(7)
-    centres = np.concatenate([hits, rng.choice(len(h), min(len(h), 2 * len(hits) + 4000), replace=False)])
+    centres = np.concatenate([hits, rng.choice(len(text), min(len(text), 2 * len(hits) + 4000), replace=False)])
     low = np.maximum(start[text[centres]], centres - AROUND)
     n = np.minimum(last[text[centres]], centres + AROUND + 1) - low
     at = tv.spread(low, n)
     first = np.cumsum(n) - n
     y = label[at].astype(float)
-    before, after = shifted(h, start, last)
-    used = [np.unique(x[at], return_inverse=True) for x in (h, before, after)]
+    around = shifted(forms[0], start, last)
+    used = [*(_often(x[at], 2) for x in forms), *(_often(x[at], RARE) for x in around)]
     weights = [np.zeros(len(u)) for u, _ in used]
     squares = [np.full(len(u), 1e-8) for u, _ in used]
     bias, bias_square, move, move_square = -2.0, 1e-8, np.zeros((2, 2)), np.full((2, 2), 1e-8)
@@ -183,6 +241,7 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 60) -> Field | None:
             g = np.bincount(i, error, len(u)) - 1e-5 * v
             s += g * g
             v += 0.5 * g / np.sqrt(s)
+            v[0] = 0
         g = error.sum()
         bias_square += g * g
         bias += 0.2 * g / np.sqrt(bias_square)
@@ -199,7 +258,14 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 60) -> Field | None:
     for v, (u, _) in zip(weights, used, strict=True):
         keep = (np.abs(v) > 0.05) & (u != 0)
         tables.append(Table(u[keep], v[keep]))
-    return Field(tables, bias, move)
+    field = Field(tables, bias, move)
+    p = field.words(forms, start, count)
+    likely = np.flatnonzero(p >= 0.5)
+    evidence = np.bincount(text[likely], log_odds(p[likely]), len(count))
+    share = kind.mean() if share is None else share
+    some = evidence > 0  # documents without such a word aren't returned anyhow
+    field.calibrate(evidence[some], kind[some], np.where(kind, share / kind.mean(), (1 - share) / (1 - kind.mean()))[some])
+    return field
 
 
 def _tag(field: Field, id_col: str):
@@ -207,14 +273,10 @@ def _tag(field: Field, id_col: str):
         for rows, data, offsets in tv.chunks(batches, "text"):
             w = tv.words(data, offsets)
             p = field.tag(w)
-            likely = np.flatnonzero(p >= FLOOR)
-            if not len(likely):
-                continue
-            text = np.searchsorted(offsets, w.starts[likely], "right") - 1
-            clean = np.zeros(len(offsets) - 1)
-            np.add.at(clean, text, np.log1p(-np.minimum(p[likely], 1 - 1e-12)))
-            toxic = p[likely] >= 0.5
-            at, text = likely[toxic], text[toxic]
+            at = np.flatnonzero(p >= 0.5)
+            text = np.searchsorted(offsets, w.starts[at], "right") - 1
+            score = field.documents(np.bincount(text, log_odds(p[at]), len(offsets) - 1))
+            at, text = at[score[text] >= 0.5], text[score[text] >= 0.5]
             if not len(at):
                 continue
             begins = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])])
@@ -227,15 +289,28 @@ def _tag(field: Field, id_col: str):
             starts, size = tv.runs(of)
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)).astype(np.int32)), spans)
             docs = of[starts]
-            yield pa.RecordBatch.from_arrays([rows.column(id_col).take(pa.array(docs)), pa.array(np.round(1 - np.exp(clean[docs]), 6)), pa.array(size.astype(np.int32)), lists], [id_col, "score", "n_spans", "spans"])
+            yield pa.RecordBatch.from_arrays([rows.column(id_col).take(pa.array(docs)), pa.array(np.round(score[docs], 6)), pa.array(size.astype(np.int32)), lists], [id_col, "score", "n_spans", "spans"])
+
+    return run
+
+
+def _fit(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = fit_batches(batches, share)
+        if field is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], ["field"])
 
     return run
 
 
+def agreed(labels: DataFrame, id_col: str) -> DataFrame:
+    each = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id"))
+    return each.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most and toxic in (0, 1)")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, fit_rows: int) -> DataFrame:
     """(text, toxic) of at most fit_rows labelled documents of each kind."""
-    agreed = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most and toxic in (0, 1)")
-    kinds = [agreed.filter(F.col("toxic") == t).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows) for t in (0, 1)]
+    kinds = [agreed(labels, id_col).filter(F.col("toxic") == t).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows) for t in (0, 1)]
     chosen = F.broadcast(kinds[0].unionByName(kinds[1]).select("__id", "toxic"))  # bounded by fit_rows
     return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).filter("text is not null").join(chosen, "__id").dropDuplicates(["__id"]).select("text", (F.col("toxic") == 1).alias("toxic"))
 
@@ -245,8 +320,10 @@ def toxic_spans(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col:
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, score double, n_spans int, spans array<struct<start_char:int,end_char:int,p:double>>"
-    rows = sorted(training_rows(docs, labels, id_col, text, fit_rows).collect())
-    field = fit([r[0] for r in rows], [r[1] for r in rows])
-    if field is None:
+    # fitted in one task, to which the bounded sample goes, so that it takes no memory of the driver
+    one = training_rows(docs, labels, id_col, text, fit_rows).repartition(1).sortWithinPartitions("text", "toxic")
+    share = agreed(labels, id_col).agg(F.avg("toxic")).first()[0]
+    fitted = [pickle.loads(r[0]) for r in one.mapInArrow(_fit(share), "field binary").collect()] if share else []
+    if not fitted:
         return spark.createDataFrame([], schema)
-    return docs.select(F.col(id_col), F.col(text).alias("text")).filter("text is not null").mapInArrow(_tag(field, id_col), schema)
+    return docs.select(F.col(id_col), F.col(text).alias("text")).filter("text is not null").mapInArrow(_tag(fitted[0], id_col), schema)
