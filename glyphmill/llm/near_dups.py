@@ -166,13 +166,14 @@ def _ids(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def groups(scratch: Scratch, docs: DataFrame, id_col: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(key, keeper, root) of each distinct text that isn't alone in its group, by the text's hash, and the texts' signatures."""
+    """(key, root, first, keeper, rows) of each distinct text that isn't alone in its group, by the text's hash, and the texts' signatures; rows: how many hold it with its least id."""
     signed = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text")).mapInArrow(_sign, SIGNATURE)
     signed = scratch.put(signed.dropDuplicates(["key"]))
     bands = signed.select(F.explode("bands").alias("band"), "key", "s0", "s1", "s2", "s3")
     edges = bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_verify(threshold), "a long, b long")
     roots = components(scratch, edges)
-    names = _ids(docs, id_col, text).groupBy("key").agg(F.min("who").alias("who"), F.count("*").alias("n"))
+    each = _ids(docs, id_col, text).groupBy("key", "who").agg(F.count("*").alias("n"))
+    names = each.groupBy("key").agg(F.min("who").alias("who"), F.sum("n").alias("n"), F.min_by("n", "who").alias("rows"))
     # blank texts have no signature and are in no group
     names = names.join(signed.select("key"), "key", "left_semi").join(roots.withColumnRenamed("node", "key"), "key", "left")
     names = names.withColumn("root", F.coalesce("root", "key"))
@@ -180,7 +181,7 @@ def groups(scratch: Scratch, docs: DataFrame, id_col: str, text: str, threshold:
     member = names.withColumns({"first": F.min("who").over(same), "total": F.sum("n").over(same)}).filter("total > 1")
     # two texts may share the least id: the one with the lesser hash is kept then
     keeper = F.min(F.when(F.col("who") == F.col("first"), F.col("key"))).over(same)
-    return scratch.put(member.select("key", "root", "first", keeper.alias("keeper"))), signed
+    return scratch.put(member.select("key", "root", "first", keeper.alias("keeper"), "rows")), signed
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -200,9 +201,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
     """docs with one document of each group of near-duplicates; those in no group stay, those with a null or blank text too."""
     scratch = Scratch(spark, "keep")
     found, _ = groups(scratch, docs, id_col, text, threshold)
-    key, keeper, first = cs.free(docs, "__key", "__keeper", "__first")
-    joined = docs.withColumn(key, F.xxhash64(cs.col(text))).join(found.select(F.col("key").alias(key), F.col("keeper").alias(keeper), F.col("first.id").alias(first)), key, "left")
+    key, keeper, first, rows = cs.free(docs, "__key", "__keeper", "__first", "__rows")
+    # what is found grows with the documents, hence no broadcast at any size
+    decided = found.select(F.col("key").alias(key), F.col("keeper").alias(keeper), F.col("first.id").alias(first), F.col("rows").alias(rows)).hint("merge")
+    joined = docs.withColumn(key, F.xxhash64(cs.col(text))).join(decided, key, "left")
     alone = F.col(keeper).isNull() | cs.col(text).isNull()
-    kept = joined.filter(~alone & (F.col(key) == F.col(keeper)) & cs.col(id_col).eqNullSafe(F.col(first)))
+    stays = (F.col(key) == F.col(keeper)) & cs.col(id_col).eqNullSafe(F.col(first))
+    kept = joined.filter(alone | (stays & (F.col(rows) == 1))).select(*cs.every(docs))
+    if found.filter("key = keeper and rows > 1").isEmpty():
+        return kept
     # rows with the same id and text are one document
-    return joined.filter(alone).select(*cs.every(docs)).unionByName(kept.dropDuplicates([key]).select(*cs.every(docs)))
+    again = joined.filter(~alone & stays & (F.col(rows) > 1)).dropDuplicates([key])
+    return kept.unionByName(again.select(*cs.every(docs)))

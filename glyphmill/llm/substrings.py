@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from glyphmill.llm import columns as cs
@@ -146,7 +147,7 @@ def repeated_levels(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_
     anchors = source.mapInArrow(_anchors(half, min_words - half + 1), WINDOW)
     places = _repeated(anchors).groupBy("key").agg(F.collect_set("pos").alias("anchors"))
     places = scratch.put(places)
-    windows = source.join(places, "key").mapInArrow(_around(half, min_words), WINDOW)
+    windows = source.join(places.hint("merge"), "key").mapInArrow(_around(half, min_words), WINDOW)
     levels, length, before = [], min_words, places
     while True:
         found = _repeated(windows)
@@ -210,28 +211,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     return names.join(whole, "key").select(id_col, F.col("pos").alias("start_word"), F.col("to").alias("end_word"), F.col("length").alias("level"))
 
 
-def _cut(columns: list[str], text: str, whole: str, spans_of: str):
-    """Takes the spans of words out of the texts; rows that are left blank go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in tv.chunks(batches, whole):
-            w = tv.words(data, offsets)
-            texts: list = rows.column(whole).to_pylist()
-            gone = np.zeros(len(texts), bool)
-            for i, spans in enumerate(rows.column(spans_of).to_pylist()):
-                if spans:
-                    raw, base, parts, at = data[offsets[i] : offsets[i + 1]].tobytes(), int(offsets[i]), [], 0
-                    first, n = int(w.first[i]), int(w.count[i])
-                    for lo, hi in sorted((s["pos"], s["to"]) for s in spans):
-                        parts.append(raw[at : int(w.starts[first + lo]) - base])
-                        at = int(w.starts[first + hi]) - base if hi < n else len(raw)
-                    texts[i] = (b"".join(parts) + raw[at:]).decode("utf-8").rstrip() if at == len(raw) else (b"".join(parts) + raw[at:]).decode("utf-8")
-                    gone[i] = not texts[i].strip()
-            keep = pa.array(~gone)
-            out = [pa.array(texts, pa.string()) if c == text else rows.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(out, columns).filter(keep)
-
-    return run
+def _cut(column: pa.Array, cuts: pa.Array) -> pa.Array:
+    """The texts without the spans of words that are to go; a null stays one."""
+    data, offsets = tv.buffers(column)
+    out: list[str | None] = [None] * len(column)
+    texts = np.flatnonzero(np.diff(offsets))
+    spans = cuts.to_pylist()
+    for i in texts.tolist():
+        raw = data[offsets[i] : offsets[i + 1]]
+        w = tv.words(raw, np.array([0, len(raw)]))
+        parts, at = [], 0
+        for lo, hi in sorted((s["pos"], s["to"]) for s in spans[i]):
+            parts.append(raw[at : int(w.starts[lo])].tobytes())
+            at = int(w.starts[hi]) if hi < len(w) else len(raw)
+        text = (b"".join(parts) + raw[at:].tobytes()).decode()
+        out[i] = text.rstrip() if at == len(raw) else text
+    return pa.array(out, pa.string())
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", count: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
@@ -244,17 +239,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     scratch = Scratch(spark, "cuts")
     cuts = merged(repeated_levels(spark, docs, scratch, min_words, text), CUTS)
-    key, keeper, spans_of, whole = cs.free(docs, "__key", "__keeper", "__cuts", "__text")
+    key, keeper, spans_of, after = cs.free(docs, "__key", "__keeper", "__cuts", "__after")
     spans = cuts.groupBy("key").agg(F.collect_list(F.struct("pos", "to")).alias(spans_of)) if cuts is not None else spark.createDataFrame([], f"key long, {spans_of} array<struct<pos:int,to:int>>")
     shared = copies(docs, id_col, text, min_words).select("key", F.struct("keeper").alias(keeper))
     what = scratch.put(spans.join(shared, "key", "full").withColumnRenamed("key", key))
-    columns = docs.columns
-    joined = docs.withColumn(key, F.xxhash64(cs.col(text))).join(what, key, "left")
+    # what is cut grows with the documents, hence no broadcast at any size
+    joined = docs.withColumn(key, F.xxhash64(cs.col(text))).join(what.hint("merge"), key, "left")
     joined = joined.filter(cs.col(text).isNull() | F.col(keeper).isNull() | F.col(keeper)["keeper"].eqNullSafe(cs.col(id_col)))
-    untouched = F.col(spans_of).isNull() | cs.col(text).isNull()
-    same = joined.filter(untouched).select(*cs.every(docs))
-    source = joined.filter(~untouched).withColumn(whole, cs.col(text)).select(*cs.every(docs), whole, spans_of)
-    changed = source.mapInArrow(_cut(columns, text, whole, spans_of), docs.schema)
-    if count and count in columns:
-        changed = changed.withColumn(count, F.length(cs.col(text)).cast(docs.schema[count].dataType))
-    return same.unionByName(changed)
+    changes = F.col(spans_of).isNotNull() & cs.col(text).isNotNull()
+    joined = joined.withColumn(after, F.arrow_udf(_cut, StringType())(F.when(changes, cs.col(text)), F.when(changes, F.col(spans_of))))
+    joined = joined.filter(~changes | (F.trim(F.translate(F.col(after), "\t\n\r\x0b\x0c", "     ")) != ""))
+    new = {text: F.when(changes, F.col(after)).otherwise(cs.col(text))}
+    if count and count in docs.columns:
+        new[count] = F.when(changes, F.length(after).cast(docs.schema[count].dataType)).otherwise(cs.col(count))
+    return joined.select(*[new[c].alias(c) if c in new else cs.col(c) for c in docs.columns])
