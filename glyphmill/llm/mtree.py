@@ -94,7 +94,8 @@ class Tree:
         every = np.arange(m)
         while True:
             node = low.argmin(1)
-            active = np.flatnonzero(low[every, node] <= bound + SLACK)
+            # a bound stays infinite as long as there are fewer than k entries
+            active = np.flatnonzero(np.isfinite(low[every, node]) & (low[every, node] <= bound + SLACK))
             if not len(active):
                 break
             low[active, node[active]] = np.inf
