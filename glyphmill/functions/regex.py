@@ -15,6 +15,8 @@ from functools import lru_cache
 
 _WORD = r"[\p{L}\p{N}_]"
 _SPACE = r"\t\n\x0B\f\r \x1c-\x1f\x85\xA0  -     　"
+#: One white-space character.
+SPACE = f"[{_SPACE}]"
 _JAVA = {"w": _WORD, "b": rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))", "s": _SPACE, "d": r"\p{Nd}", "end": r"(?=\n?\z)", "i": "(?iu:"}
 _PYTHON = {"w": r"\w", "b": r"\b", "s": r"\s", "d": r"\d", "end": r"(?=\n?\Z)", "i": "(?i:"}
 

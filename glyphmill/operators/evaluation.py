@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from glyphmill.functions import dims
+from glyphmill.functions import dims, regex
 
-_SPACE = r"[\s\x1c-\x1f\x85\xA0  -     　]"
+_SPACE = regex.SPACE
 _NOTHING = "no change|no correction|no changes|no corrections needed|keine Änderungen|keine Korrekturen|keine Korrektur|sin correcciones|aucune correction|nessuna correzione|sem correções?|no cambios|The (?:input|text) is already correct"
 _NOTE = "|".join("Hinweis Nota Notă Note Observação Observación Opmerking Remarque".split())
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.plans import rule_queries
+from glyphmill.plans import rule_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query.run for name, query in rule_queries.QUERIES.items()}
-ORACLE: dict[str, str] = {name: sql for name, query in rule_queries.QUERIES.items() if (sql := query.oracle())}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query.run for name, query in rule_queries.QUERIES.items()} | text_queries.QUERIES
+ORACLE: dict[str, str] = {name: sql for name, query in rule_queries.QUERIES.items() if (sql := query.oracle())} | text_queries.ORACLE

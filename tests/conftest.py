@@ -8,7 +8,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+for _p in (Path(__file__).resolve().parent, Path(__file__).resolve().parent.parent):
+    sys.path.insert(0, str(_p))
 DATA = Path("/root/testdata")
 
 
