@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -145,3 +147,51 @@ def test_query(spark, small):
     near = {b for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
     far = {i for i in sets if all(len(sets[i] & sets[j]) < 0.4 * len(sets[i] | sets[j]) for j in sets if j != i)}
     assert len(near & gone) >= 0.9 * len(near) and not far & gone
+
+
+def exact_pairs(docs: dict, least: float) -> dict:
+    """The Jaccard similarity of all pairs of texts that have at least this."""
+    sets = {i: shingles(t) for i, t in docs.items()}
+    holders = {}
+    for i, x in sets.items():
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    both = Counter(p for ids in holders.values() for p in combinations(ids, 2))
+    found = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in both.items()}
+    return {p: j for p, j in found.items() if j >= least}
+
+
+def test_recall_from_the_threshold_up_on_the_given_tables(spark, small):
+    """Groups are those of the exact pairs, near the limit too; nothing below it is joined."""
+    folder = str(Path(small).parent / "sf0.01")
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r.text and r.text.strip()}
+    near = exact_pairs(docs, 0.5)
+    assert any(j < 0.65 for j in near.values())
+    mine = {i: i for i in docs}
+
+    def root(x):
+        while mine[x] != x:
+            x = mine[x]
+        return x
+
+    for a, b in near:
+        mine[max(root(a), root(b))] = min(root(a), root(b))
+    want = {i: root(i) for i in docs if root(i) != i}
+    got = {r.doc_id: r.kept_doc_id for r in queries.op7_near_duplicates(spark, folder).collect()}
+    assert sum(got.get(i) == k for i, k in want.items()) >= 0.98 * len(want)
+    assert all(root(i) == root(k) for i, k in got.items())
+
+
+def test_the_limit_is_decided_on_exact_shingles(spark):
+    """Pairs whose similarity is a little over or under the threshold, where a sketch can't tell."""
+    docs, over, under = {}, set(), set()
+    for k in range(40):
+        base = tx.prose(50_000 + k, 300).split()
+        for i, cut in ((10 * k + 1, 190), (10 * k + 5, 210)):
+            other = tx.prose(60_000 + i, 400).split()
+            own = tx.prose(70_000 + i, 300).split() if cut == 190 else base
+            docs[i], docs[i + 1] = " ".join(own), " ".join(own[:cut] + other[: 300 - cut])
+            (over if cut == 210 else under).add(i + 1)
+    assert all(jaccard(docs[i - 1], docs[i]) > 0.5 for i in over) and all(0.4 < jaccard(docs[i - 1], docs[i]) < 0.5 for i in under)
+    gone = {r.doc_id for r in near_dups.near_duplicates(spark, tx.frame(spark, tx.rows(docs))).collect()}
+    assert len(over & gone) >= 0.95 * len(over) and gone <= over
