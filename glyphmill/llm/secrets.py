@@ -5,7 +5,10 @@ is hex, alnum (letters and digits), base64 (with symbols too) or alpha, each wit
 own; runs of digits alone, or without a letter, are numbers and rules, and no candidates. The window
 moves by one character at a time and changes two counts; sums of n log2 n are kept as integers,
 so that no rounding gathers. A candidate with a window at its class's threshold is a secret, unless
-the allow-list holds it.
+the allow-list holds it. Of a candidate that is neither a secret nor allowed, the parts between its
+symbols, and of those that aren't secrets the longest runs of hex digits, are candidates by
+themselves, with the threshold of their own class, so that a secret that hangs on a name or a
+separator is found.
 
 Defined results: null, blank and short texts have none; repeated rows each give theirs; offsets count
 characters. The secret itself is not returned.
@@ -38,6 +41,7 @@ RUN = np.zeros(256, bool)
 RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")] = True
 WEIGHTS = [0] + [round(c * np.log2(c) * UNIT) for c in range(1, WINDOW + 1)]
 STEPS = [b - a for a, b in zip(WEIGHTS, WEIGHTS[1:], strict=False)]
+PARTS = (re.compile(rb"[A-Za-z0-9]{%d,}" % WINDOW), re.compile(rb"[0-9a-fA-F]{%d,}" % WINDOW))
 _hex, _alnum, _alpha, _letter, _digit = (re.compile(p) for p in (rb"[0-9a-fA-F]+", rb"[A-Za-z0-9]+", rb"[A-Za-z]+", rb"[A-Za-z]", rb"[0-9]"))
 MARK = "[SECRET]"
 
@@ -89,12 +93,24 @@ def find(data: np.ndarray, allowed: re.Pattern) -> Iterator[tuple[int, int, str,
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     long = ends - starts >= WINDOW
     for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-        run = data[s:e].tobytes()
-        kind = kind_of(run)
-        if kind:
-            total, at = least_sum(run)
-            if total <= most(kind) and not allowed.fullmatch(run.decode()):
-                yield s, e, kind, total, at
+        yield from _in_run(data[s:e].tobytes(), s, allowed, PARTS)
+
+
+def _in_run(run: bytes, s: int, allowed: re.Pattern, parts: tuple[re.Pattern, ...]) -> Iterator[tuple[int, int, str, int, int]]:
+    """The run, which begins at ``s``, if it is a secret; else the secrets among its parts."""
+    kind = kind_of(run)
+    if not kind or allowed.fullmatch(run.decode()):
+        return
+    total, at = least_sum(run)
+    if total <= most(kind):
+        yield s, s + len(run), kind, total, at
+        return
+    for i, part in enumerate(parts):
+        pieces = [m.span() for m in part.finditer(run)]
+        if pieces and pieces != [(0, len(run))]:
+            for a, b in pieces:
+                yield from _in_run(run[a:b], s + a, allowed, parts[i + 1 :])
+            return
 
 
 def _pattern(allow: tuple[str, ...]) -> re.Pattern:
