@@ -50,6 +50,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_packing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_packing by the tokens of op1's vocabulary instead of the estimate."""
+    return packing.packed(spark, table(spark, sf_dir, "documents"), tokenizer=f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -60,7 +65,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_embedding_near_dups, op3_toxic_spans, op4_repeated_passages, op5_secret_scan, op6_quality_resample, op7_near_duplicates, op8_packing, op9_bpe, op10_exact_top_k)
+    for f in (op1_token_counts, op2_embedding_near_dups, op3_toxic_spans, op4_repeated_passages, op5_secret_scan, op6_quality_resample, op7_near_duplicates, op8_packing, op8_packing_tokens, op9_bpe, op10_exact_top_k)
 }
 ORACLE: dict[str, str] = {
     "op2_embedding_near_dups": sql.near_pairs(vector_graph.THRESHOLD),

@@ -9,7 +9,7 @@ import texts as tx
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glyphmill.llm import packing, queries
+from glyphmill.llm import packing, queries, token_counts
 
 
 @settings(max_examples=150, deadline=None)
@@ -84,3 +84,33 @@ def test_query(spark, small):
 def test_small_windows(spark, capacity):
     rows = [(1, "abcd" * 10), (2, "abcd" * 3), (3, "a")]
     check(rows, packing.packed(spark, tx.frame(spark, tx.rows(dict(rows))), capacity=capacity).collect(), capacity)
+
+
+def test_windows_hold_real_tokens(spark, small):
+    """Loads by the tokenizer itself: every token of every text is in one window, and no window has too many."""
+    plain = token_counts.encoder(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken")[2]
+    want = {r.doc_id: len(plain(r.text or "")) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    pieces, load = {}, Counter()
+    for r in queries.QUERIES["op8_packing_tokens"](spark, small).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start_token, r.n_tokens))
+        load[r.window_id] += r.n_tokens
+    for i, own in pieces.items():
+        own.sort()
+        assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+    assert {i: sum(n for _, n in own) for i, own in pieces.items()} == {i: n for i, n in want.items() if n}
+    assert max(load.values()) <= packing.CAPACITY
+    assert sum(load.values()) >= 0.98 * packing.CAPACITY * len(load)
+
+
+def test_odd_rows_by_tokens(spark):
+    path = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    plain = token_counts.encoder(path)[2]
+    rows = tx.odd_rows()
+    got = packing.packed(spark, tx.frame(spark, rows, True), capacity=256, tokenizer=path).collect()
+    want = Counter()
+    for r in rows:
+        want[str(r[0])] += len(plain(r[1] or ""))
+    pieces = Counter()
+    for r in got:
+        pieces[str(r.doc_id)] += r.n_tokens
+    assert pieces == +want
