@@ -76,21 +76,24 @@ def score(cases: DataFrame, cleaned: bool = True, batches: dict[str, int] | None
 
 
 def rollup(scored: DataFrame) -> DataFrame:
-    """Counts and exact matches in all, by language, by rule and by batch, in one pass."""
+    """Counts and exact matches in all, by language, by rule and by batch, in one pass; of a full score the mean similarity and the regressions too."""
+    more = ", avg(similarity_score) AS mean_similarity, sum(cast(regression AS bigint)) AS regressions" if "similarity_score" in scored.columns else ""
     sets = "GROUPING SETS ((language), (rule), (batch), ())"
     scored.createOrReplaceTempView("__scored")
     return scored.sparkSession.sql(
         f"""SELECT CASE grouping_id(language, rule, batch) WHEN 3 THEN 'language' WHEN 5 THEN 'rule' WHEN 6 THEN 'batch' ELSE 'all' END AS grouping_name,
-        coalesce(language, rule, cast(batch AS string), '') AS grp, count(*) AS n, sum(cast(exact_match AS bigint)) AS exact
+        coalesce(language, rule, cast(batch AS string), '') AS grp, count(*) AS n, sum(cast(exact_match AS bigint)) AS exact{more}
         FROM __scored GROUP BY language, rule, batch {sets}"""
     )
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """By language, of both runs: cases of the larger run and exact matches; a language may be in one run only."""
-    per = [x.groupBy("language").agg(F.count("*").alias(f"n_{s}"), F.sum(F.col("exact_match").cast("long")).alias(f"exact_{s}")) for x, s in ((a, "a"), (b, "b"))]
+    """By language, of both runs: cases of the larger run and exact matches, of full scores mean similarity (null where a run lacks the language) and regressions; a language may be in one run only."""
+    full = "similarity_score" in a.columns and "similarity_score" in b.columns
+    more = [[F.avg("similarity_score").alias(f"mean_similarity_{s}"), F.sum(F.col("regression").cast("long")).alias(f"regressions_{s}")] if full else [] for s in "ab"]
+    per = [x.groupBy("language").agg(F.count("*").alias(f"n_{s}"), F.sum(F.col("exact_match").cast("long")).alias(f"exact_{s}"), *m) for x, s, m in zip((a, b), "ab", more, strict=True)]
     zero = F.lit(0).cast("long")
-    return per[0].join(per[1], "language", "full").select("language", F.greatest(F.coalesce("n_a", zero), F.coalesce("n_b", zero)).alias("n"), F.coalesce("exact_a", zero).alias("exact_a"), F.coalesce("exact_b", zero).alias("exact_b"), (F.coalesce("exact_b", zero) - F.coalesce("exact_a", zero)).alias("delta"))
+    return per[0].join(per[1], "language", "full").select("language", F.greatest(F.coalesce("n_a", zero), F.coalesce("n_b", zero)).alias("n"), F.coalesce("exact_a", zero).alias("exact_a"), F.coalesce("exact_b", zero).alias("exact_b"), (F.coalesce("exact_b", zero) - F.coalesce("exact_a", zero)).alias("delta"), *([c for s in "ab" for c in (F.col(f"mean_similarity_{s}"), F.coalesce(f"regressions_{s}", zero).alias(f"regressions_{s}"))] if full else []))
 
 
 def gained_lost(a: DataFrame, b: DataFrame) -> DataFrame:

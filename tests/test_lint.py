@@ -66,3 +66,18 @@ def test_scores(spark):
 def test_attribution_of_special_spaces(spark):
     df = spark.createDataFrame([(" ", N, "en-US"), (" ", T, "fr-FR"), (" ", " ", "en-US"), ("  ", " ", "de-DE"), ("ab", "cd", "en-US")], "original string, corrected string, lang string")
     assert [r.rule for r in attribution.annotate(df).collect()] == ["number_unit_spacing", "number_unit_spacing", None, "sentence_spacing", None]
+
+
+def test_rollup_of_a_full_score(spark):
+    """Mean similarity and regressions by language and rule, and of two runs."""
+    rows = [(1, "en", "r", "a b c", "a b d", "a b d"), (2, "en", "r", "a b c", "a b d", "zzzzz"), (3, "de", "q", "xy", "xz", "xy")]
+    schema = "case_id long, language string, rule string, input string, expected string, predicted string"
+    scored = evaluation.score(spark.createDataFrame(rows, schema)).localCheckpoint()
+    each = {r.case_id: r for r in scored.collect()}
+    got = {(r.grouping_name, r.grp): r for r in evaluation.rollup(scored).collect()}
+    for key, ids in ((("language", "en"), (1, 2)), (("rule", "q"), (3,)), (("all", ""), (1, 2, 3))):
+        assert got[key].mean_similarity == pytest.approx(sum(each[i].similarity_score for i in ids) / len(ids))
+        assert got[key].regressions == sum(each[i].regression for i in ids)
+    assert got["language", "en"].regressions == 1
+    both = {r.language: r for r in evaluation.compare(scored, scored.filter("case_id < 3")).collect()}
+    assert (both["en"].regressions_a, both["en"].regressions_b, both["de"].regressions_b, both["de"].mean_similarity_b) == (1, 1, 0, None)
