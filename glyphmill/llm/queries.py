@@ -22,7 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_graph.near_pairs(spark, table(spark, sf_dir, "embeddings"))
+    return vector_graph.near_groups(spark, table(spark, sf_dir, "embeddings"))
 
 
 def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_token_counts, op2_embedding_near_dups, op3_toxic_spans, op4_repeated_passages, op5_secret_scan, op6_quality_resample, op7_near_duplicates, op8_packing, op8_packing_tokens, op9_bpe, op10_exact_top_k)
 }
 ORACLE: dict[str, str] = {
-    "op2_embedding_near_dups": sql.near_pairs(vector_graph.THRESHOLD),
+    "op2_embedding_near_dups": sql.near_groups(vector_graph.THRESHOLD),
     "op4_repeated_passages": sql.repeated_passages(substrings.MIN_WORDS),
     "op5_secret_scan": sql.secrets(secrets.WINDOW, secrets.THRESHOLDS, secrets.ALLOWED, secrets.UNIT),
     "op10_exact_top_k": sql.nearest(mtree.K),

@@ -22,11 +22,12 @@ w0 AS (SELECT doc_id, p, md5(array_to_string(x[p + 1:p + {min_words}], ' ')) AS
     return ",\n".join(parts) + "\nSELECT s.doc_id, s.s::INTEGER AS start_word, s.e::INTEGER AS end_word, max(v.n)::INTEGER AS level FROM spans s JOIN every v ON s.doc_id = v.doc_id AND v.p >= s.s AND v.p < s.e GROUP BY ALL"
 
 
-def near_pairs(threshold: float) -> str:
-    """All pairs by their cosines."""
-    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-pairs AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id)
-SELECT id_a, id_b, round(s, 4) AS similarity FROM pairs WHERE s >= {threshold}"""
+def near_groups(threshold: float) -> str:
+    """All pairs by their cosines, and all that is reached over them."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {threshold}),
+reached AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.y FROM reached r JOIN links l ON r.other = l.x)
+SELECT vec_id, min(other) AS class_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links FROM reached GROUP BY vec_id"""
 
 
 def nearest(k: int) -> str:
