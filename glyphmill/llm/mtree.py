@@ -1,11 +1,16 @@
-"""Exact top-k search by M-trees, every row a query.
+"""Exact top-k search by M-trees.
 
-Rows are dealt to cells, each to its nearest pivot; a cell is an M-tree whose pages (``PAGE`` entries)
-hang under routing nodes, all with a pivot, a covering radius and the distance to their parent. A query
-searches its own cell first; with the k-th distance found there as its bound it is sent to those other
-cells whose ball it reaches, and the lists are merged. Within a tree each query takes its best node
-first; batches of queries that are at the same node are computed together. Stored parent distances
-exclude nodes and entries before any distance to them is computed.
+Rows are dealt to cells of about ``CELL``, each to its nearest centre, and a cell that holds too many is
+split by further centres. Each cell becomes an M-tree, built once and kept as a row: its pages
+(``PAGE`` entries) hang under routing nodes, all with a pivot, a covering radius and the distance to
+their parent. A query searches the ``FIRST`` cells nearest to it; with the k-th distance found there as
+its bound it is sent to those other cells that it may reach, by their covering radius and by the least
+and greatest distances of their rows to ``RINGS`` pivots, and the lists are merged. Within a tree
+each query takes its best node first; batches of queries that are at the same node are computed
+together. Stored parent distances exclude nodes and entries before any distance to them is computed.
+
+What every task is given of the cells, centres, radii and rings, takes some 3 KB for each; cells grow
+so that it stays under ``TABLE`` bytes.
 
 Defined results: rows without an id or with a vector that is null, empty, not finite or of another
 than the most frequent length are left out; of rows with one id the least vector counts; a row isn't
@@ -14,16 +19,19 @@ its own neighbour; ties in distance go by id; with fewer than k other rows all o
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphmill.llm import vectors as vs
 from glyphmill.llm.scratch import Scratch
 
-K, PAGE, FAN, CELL, MOST_PIVOTS, SLACK = 10, 64, 12, 4096, 1024, 1e-7
+K, PAGE, FAN, CELL, FIRST, RINGS, TABLE, SLACK = 10, 64, 12, 2048, 3, 32, 256 << 20, 1e-7
 
 
 def _spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -147,66 +155,102 @@ class Tree:
 FOUND = "id long, other long, d double"
 
 
-def _own(k: int):
+def _built(pivots: np.ndarray):
+    """The tree of a cell as a row, with its centre, radius and the rings its rows lie in."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids, x = table.column("id").to_numpy(), vs.matrix(table.column("v"))
-        r, d, other = Tree(ids, x).search(x, ids, np.full(len(ids), np.inf), k)
-        return pa.table([pa.array(ids[r]), pa.array(other), pa.array(d)], names=["id", "other", "d"])
+        x = vs.matrix(table.column("v"))
+        tree = Tree(table.column("id").to_numpy(), x)
+        far = vs.distances(x, pivots)
+        own = np.concatenate([tree.root, [vs.distances(x, tree.root[None]).max()], far.min(0), far.max(0)])
+        return pa.table([*(table.column(c).slice(0, 1) for c in ("cell", "part")), vs.lists(own[None]), pa.array([pickle.dumps(tree, 5)], pa.binary())], names=["cell", "part", "about", "tree"])
 
     return run
 
 
 def _visit(k: int):
-    def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
-        ids, q = queries.column("id").to_numpy(), vs.matrix(queries.column("v"))
-        tree = Tree(entries.column("id").to_numpy(), vs.matrix(entries.column("v")))
-        bound = queries.column("bound").to_numpy()
-        parts = [tree.search(q[lo : lo + 4096], ids[lo : lo + 4096], bound[lo : lo + 4096], k) for lo in range(0, len(ids), 4096)]
-        who = np.concatenate([ids[lo * 4096 :][p[0]] for lo, p in enumerate(parts)]) if parts else np.zeros(0, np.int64)
-        return pa.table([pa.array(who, pa.int64()), pa.array(np.concatenate([p[2] for p in parts] or [np.zeros(0, np.int64)])), pa.array(np.concatenate([p[1] for p in parts] or [np.zeros(0)]))], names=["id", "other", "d"])
+    def run(trees: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if trees.num_rows and queries.num_rows:
+            tree = pickle.loads(trees.column("tree")[0].as_py())
+            ids, q, bound = queries.column("id").to_numpy(), vs.matrix(queries.column("v")), queries.column("bound").to_numpy()
+            for lo in range(0, len(ids), 4096):
+                r, d, other = tree.search(q[lo : lo + 4096], ids[lo : lo + 4096], bound[lo : lo + 4096], k)
+                for out, v in zip(found, (ids[lo + r], other, d), strict=True):
+                    out.append(v)
+        return pa.table([np.concatenate(f) for f in found], names=["id", "other", "d"])
 
     return run
 
 
-def _reached(pivots: np.ndarray, cells: list[tuple[int, int, float]], parts: int):
-    """The cells, other than its own, whose ball each query's bound reaches."""
-    at = np.array([c for c, _, _ in cells])
-    part = np.array([p for _, p, _ in cells])
-    radius = np.array([r for _, _, r in cells])
+class Cells:
+    """What is known of all cells, to tell which of them a query may reach."""
 
-    def run(batches):
+    def __init__(self, rows: pa.Table, pivots: np.ndarray):
+        self.cell, self.part = rows.column("cell").to_numpy(), rows.column("part").to_numpy()
+        about = vs.matrix(rows.column("about"))
+        d, p = pivots.shape[1], len(pivots)
+        self.root, self.radius, self.low, self.high, self.pivots = about[:, :d], about[:, d], about[:, d + 1 : d + 1 + p], about[:, d + 1 + p :], pivots
+
+    def first(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                near = np.argsort(vs.distances(vs.matrix(rows.column("v")), self.root), 1, kind="stable")[:, :FIRST]
+                yield self._sent(rows, np.repeat(np.arange(rows.num_rows), near.shape[1]), near.ravel(), np.full(near.size, np.inf))
+
+    def reached(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells, other than the first ones, that each query's bound reaches."""
         for rows in batches:
             if not rows.num_rows:
                 continue
-            d = vs.distances(vs.matrix(rows.column("v")), pivots)[:, at]
-            bound = rows.column("bound").to_numpy()
-            home = (at == rows.column("cell").to_numpy()[:, None]) & (part == rows.column("part").to_numpy()[:, None])
-            r, c = np.nonzero((d - radius <= bound[:, None] + SLACK) & ~home)
-            which = pa.array(r)
-            yield pa.RecordBatch.from_arrays([rows.column("id").take(which), rows.column("v").take(which), pa.array(at[c].astype(np.int32)), pa.array(part[c].astype(np.int32)), pa.array(bound[r])], ["id", "v", "cell", "part", "bound"])
+            q, bound = vs.matrix(rows.column("v")), rows.column("bound").to_numpy()
+            d = vs.distances(q, self.root)
+            least = d - self.radius
+            for j in range(len(self.pivots)):
+                ring = vs.distances(q, self.pivots[j : j + 1])
+                np.maximum(least, np.maximum(ring - self.high[:, j], self.low[:, j] - ring), out=least)
+            goes = least <= bound[:, None] + SLACK
+            np.put_along_axis(goes, np.argsort(d, 1, kind="stable")[:, :FIRST], False, 1)
+            r, c = np.nonzero(goes)
+            yield self._sent(rows, r, c, bound[r])
 
-    return run
+    def _sent(self, rows: pa.RecordBatch, r: np.ndarray, c: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
+        which = pa.array(r)
+        return pa.RecordBatch.from_arrays([rows.column("id").take(which), rows.column("v").take(which), pa.array(self.cell[c]), pa.array(self.part[c]), pa.array(bound)], ["id", "v", "cell", "part", "bound"])
 
 
-def nearest(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest other rows of each row by Euclidean distance."""
+def nearest(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K, queries: Column | None = None) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): the k nearest other rows by Euclidean distance of each row, or of each row for which ``queries``, a condition on column id, holds."""
     out = [F.col("id").alias(id_col), "rank", F.col("other").alias("neighbor_id"), F.round("d", 6).alias("distance")]
     scratch = Scratch(spark, "mtree")
-    table = scratch.put(vs.clean(rows, id_col, vector).withColumn("id", F.col("id").cast("long")))
+    table = scratch.put(vs.clean(rows, id_col, vector))
     n = table.count()
     if n < 2:
         return spark.createDataFrame([], f"`{id_col}` long, rank int, neighbor_id long, distance double")
-    pivots = vs.some_pivots(table, min(MOST_PIVOTS, max(1, -(-n // CELL))))
-    dealt = table.mapInArrow(vs.deal(pivots, 1), "id long, v array<double>, cell int, home boolean, far double")
-    sizes = dealt.groupBy("cell").count()
-    # a cell of too many rows is several trees around one pivot
-    dealt = dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / (2 * CELL))).cast("int")).select("id", "v", "cell", "part", "far")
-    dealt = scratch.put(dealt)
-    cells = [tuple(r) for r in dealt.groupBy("cell", "part").agg(F.max("far")).collect()]
-    first = scratch.put(dealt.groupBy("cell", "part").applyInArrow(_own(k), FOUND))
-    bounds = first.groupBy("id").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("bound"))
-    asked = dealt.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    sent = asked.select("id", "v", "cell", "part", "bound").mapInArrow(_reached(pivots, cells, 1), "id long, v array<double>, cell int, part int, bound double")
-    rest = dealt.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(_visit(k), FOUND)
+    width = len(table.select("v").first()[0])
+    size = max(CELL, -(-n * 8 * (width + 2 * RINGS + 1) // TABLE))
+    centres, counts = vs.centres_of(table, n, size)
+    # what no distance splits, equal vectors, is cut by hash
+    parts = {c: -(-m // (3 * size)) for c, m in counts.items()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell = centres.near(vs.matrix(b.column("v")), 1)[0][:, 0]
+                part = b.column("h").to_numpy() % np.array([parts[int(c)] for c in cell])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cell), pa.array(part)], ["id", "v", "cell", "part"])
+
+    dealt = table.withColumn("h", F.xxhash64("id")).mapInArrow(deal, "id long, v array<double>, cell long, part long")
+    pivots = centres.points[np.linspace(0, len(centres) - 1, min(RINGS, len(centres))).astype(int)]
+    trees = scratch.put(dealt.groupBy("cell", "part").applyInArrow(_built(pivots), "cell long, part long, about array<double>, tree binary"))
+    cells = Cells(trees.select("cell", "part", "about").toArrow(), pivots)
+    asked = table if queries is None else table.filter(queries)
+    sent = "id long, v array<double>, cell long, part long, bound double"
+    visit = trees.select("cell", "part", "tree").groupBy("cell", "part")
+    first = scratch.put(visit.cogroup(asked.mapInArrow(cells.first, sent).groupBy("cell", "part")).applyInArrow(_visit(k), FOUND))
     order = Window.partitionBy("id").orderBy("d", "other")
-    return first.union(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*out)
+    best = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    bounds = best.groupBy("id").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("bound"))
+    bounded = asked.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    rest = visit.cogroup(bounded.mapInArrow(cells.reached, sent).groupBy("cell", "part")).applyInArrow(_visit(k), FOUND)
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*out)

@@ -30,10 +30,10 @@ reached AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.y FRO
 SELECT vec_id, min(other) AS class_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links FROM reached GROUP BY vec_id"""
 
 
-def nearest(k: int) -> str:
-    """All pairs by their distances."""
+def nearest(k: int, every: int) -> str:
+    """Pairs of each query and all rows by their distances."""
     return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-pairs AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+pairs AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS rank FROM pairs)
 SELECT vec_id, rank::INTEGER AS rank, neighbor_id, round(d, 6) AS distance FROM ranked WHERE rank <= {k}"""
 

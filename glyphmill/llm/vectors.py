@@ -93,20 +93,12 @@ class Centres:
         return at, d
 
     def split(self, cells: dict[int, np.ndarray]) -> Centres:
-        """Other centres in place of some."""
-        groups = []
-        for g, points in enumerate(self.groups):
-            own = [cells.get(int(self.first[g]) + i, p[None]) for i, p in enumerate(points)]
-            groups.append(np.concatenate(own))
-        if sum(map(len, groups)) <= FLAT or len(groups) > 1:
-            return Centres(groups)
-        return Centres.fit_groups(np.concatenate(groups))
-
-    @classmethod
-    def fit_groups(cls, points: np.ndarray) -> Centres:
-        tops = _means(points, round(len(points) ** 0.5))
-        near = distances(points, tops).argmin(1)
-        return cls([points[near == j] for j in range(len(tops))])
+        """Other centres in place of some; all are grouped anew."""
+        points = np.concatenate([cells.get(i, p[None]) for i, p in enumerate(self.points)])
+        if len(points) <= FLAT:
+            return Centres([points])
+        near = distances(points, _means(points, round(len(points) ** 0.5))).argmin(1)
+        return Centres([points[near == j] for j in np.unique(near)])
 
 
 def sample(table: DataFrame, n: int, most: int) -> np.ndarray:
