@@ -2,8 +2,8 @@
 
 Documents are labelled, words are not: a word of a toxic document is labelled toxic where documents
 with that word, or with one that begins like it, are toxic far more often than others (``_lexicon``).
-The field is fitted on at most ``fit_rows`` labelled documents of each kind, those with the least
-hashes of their ids; its features are the word, its first 4 to 7 bytes, as insults are inflected and
+The field is fitted by gradient steps on the likelihood of those labels over the whole texts of at most
+``fit_rows`` labelled documents of each kind, those with the least hashes of their ids; its features are the word, its first 4 to 7 bytes, as insults are inflected and
 compounded, and both neighbours, in lower case and without punctuation at the ends. All texts are
 then tagged whole: forward and backward recursions run over blocks of ``BLOCK`` words at once, whose
 transfer matrices are chained, and give the exact marginal of each word.
@@ -15,7 +15,8 @@ of words with a marginal of at least 1/2.
 
 Defined results: a document with a score under 1/2 isn't returned; null and blank texts have none;
 repeated rows each give theirs; offsets count characters. Without labels of both kinds there is
-nothing to fit and no result. A document with contradictory labels isn't fitted on.
+nothing to fit and no result. A document with contradictory labels isn't fitted on; of one id's texts
+the one with the least hash is.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm import textvec as tv
 from glyphmill.llm.scratch import small_batches
 
-FIT_ROWS, BLOCK, AROUND, RARE, SLOTS = 3000, 64, 3, 10, 1 << 16
+FIT_ROWS, BLOCK, RARE, ROUNDS = 3000, 64, 10, 60
 PREFIXES = (4, 5, 6, 7)
 PUNCT = np.zeros(256, bool)
 PUNCT[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
@@ -45,18 +46,27 @@ def word_codes(w: tv.Words) -> list[np.ndarray]:
 
 
 class Table:
-    """Weights by 64-bit feature in two gathers: a slot holds one feature's fingerprint and weight."""
+    """Weights by 64-bit feature; features whose hashes begin alike lie one after the other."""
 
     def __init__(self, features: np.ndarray, weights: np.ndarray):
-        order = np.argsort(np.abs(weights))  # of features in one slot the weightiest stays
-        features, weights = features[order], weights[order]
-        slot = (features & np.uint64(SLOTS - 1)).astype(np.int64)
-        self.mark, self.weight = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.float32)
-        self.mark[slot], self.weight[slot] = (features >> np.uint64(32)).astype(np.uint32), weights
+        self.bits = np.uint64(64 - max(8, int(4 * len(features)).bit_length()))
+        order = np.argsort(features)
+        self.features, self.weights = np.append(features[order], np.uint64(0)), np.append(weights[order], 0.0)
+        slot = (self.features[:-1] >> self.bits).astype(np.int64)
+        count = np.bincount(slot, minlength=1 << (64 - int(self.bits)))
+        self.first, self.count = (np.cumsum(count) - count).astype(np.int32), count.astype(np.int32)
 
     def of(self, features: np.ndarray) -> np.ndarray:
-        slot = (features & np.uint64(SLOTS - 1)).astype(np.int64)
-        return np.where(self.mark[slot] == (features >> np.uint64(32)).astype(np.uint32), self.weight[slot], np.float32(0)).astype(np.float64)
+        slot = (features >> self.bits).astype(np.int64)
+        at, left = self.first[slot], self.count[slot]
+        out, rest = np.zeros(len(features)), np.flatnonzero(left)
+        while len(rest):
+            hit = self.features[at[rest]] == features[rest]
+            out[rest[hit]] = self.weights[at[rest[hit]]]
+            rest = rest[~hit & (left[rest] > 1)]
+            at[rest] += 1
+            left[rest] -= 1
+        return out
 
 
 def shifted(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +79,18 @@ def shifted(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndar
 
 
 def marginals(odds: np.ndarray, first: np.ndarray, count: np.ndarray, move: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Probability of state 1 at each place of several chains laid end to end.
+    """Probability of state 1 at each place of several chains laid end to end."""
+    return expected(odds, first, count, move, block)[0]
+
+
+def expected(odds: np.ndarray, first: np.ndarray, count: np.ndarray, move: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Those probabilities, and the expected number of moves from each state to each: the gradient of the log of all labellings' potentials.
 
     odds: state 1's emission over state 0's. move[a, b]: potential of going from a to b. Chains begin
     with even potentials. Blocks' 2 x 2 products carry the recursions over long chains.
     """
     if not len(odds):
-        return np.zeros(0)
+        return np.zeros(0), np.zeros((2, 2))
     (a, b), (c, d) = move
     blocks = -(-count // block)
     n = int(blocks.sum())
@@ -115,14 +130,18 @@ def marginals(odds: np.ndarray, first: np.ndarray, count: np.ndarray, move: np.n
     for t in range(block):
         r = np.where(real[t], np.where(opens & (t == 0), e[t], e[t] * (b + d * r) / (a + c * r)), r)
         forth[t] = r
-    out = np.zeros(len(odds))
+    out, moves = np.zeros(len(odds)), np.zeros((2, 2))
     r = leave
     for t in range(block - 1, -1, -1):
         both = forth[t] * r
         keep = real[t]
         out[place[t][keep]] = (both / (1 + both))[keep]
+        inner = keep & ~opens if t == 0 else keep  # a chain's first word is not moved to
+        before, after = (enter if t == 0 else forth[t - 1])[inner], (e[t] * r)[inner]
+        ways = np.stack([np.full(len(before), a), b * after, c * before, d * before * after])
+        moves += (ways / ways.sum(0)).sum(1).reshape(2, 2)
         r = np.where(keep, (c + d * e[t] * r) / (a + b * e[t] * r), r)
-    return out
+    return out, moves
 
 
 class Field:
@@ -175,15 +194,15 @@ def _often(features: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     every, inverse, n = np.unique(features, return_inverse=True, return_counts=True)
     keep = (n >= least) & (every != 0)
     number = np.where(keep, np.cumsum(keep), 0)
-    return np.concatenate([np.zeros(1, np.uint64), every[keep]]), number[inverse]
+    return np.concatenate([np.zeros(1, np.uint64), every[keep]]), number.astype(np.int32)[inverse]
 
 
 def fit(texts: list[str], toxic: list[bool], share: float | None = None) -> Field | None:
     return fit_batches(iter([pa.record_batch([pa.array(texts, pa.large_string()), pa.array(toxic, pa.bool_())], ["text", "toxic"])]), share)
 
 
-def fit_batches(batches: Iterator[pa.RecordBatch], share: float | None = None, rounds: int = 120) -> Field | None:
-    """By gradient steps on the likelihood of the words' labels, around labelled words and at as many places without."""
+def fit_batches(batches: Iterator[pa.RecordBatch], share: float | None = None, rounds: int = ROUNDS) -> Field | None:
+    """By gradient steps on the likelihood of the words' labels."""
     hashes: list[list[np.ndarray]] = [[] for _ in range(1 + len(PREFIXES))]
     distinct: list[list[np.ndarray]] = [[] for _ in hashes]
     bad: list[list[np.ndarray]] = [[] for _ in hashes]
@@ -217,26 +236,21 @@ def fit_batches(batches: Iterator[pa.RecordBatch], share: float | None = None, r
     label &= kind[text]
     if not len(hits):
         return None
-    rng = np.random.default_rng(7)
-    centres = np.concatenate([hits, rng.choice(len(text), min(len(text), 2 * len(hits) + 4000), replace=False)])
-    low = np.maximum(start[text[centres]], centres - AROUND)
-    n = np.minimum(last[text[centres]], centres + AROUND + 1) - low
-    at = tv.spread(low, n)
-    first = np.cumsum(n) - n
-    y = label[at].astype(float)
-    around = shifted(forms[0], start, last)
-    used = [*(_often(x[at], 2) for x in forms), *(_often(x[at], RARE) for x in around)]
+    y = label.astype(float)
+    used = [*(_often(x, 2) for x in forms), *(_often(x, RARE) for x in shifted(forms[0], start, last))]
     weights = [np.zeros(len(u)) for u, _ in used]
     squares = [np.full(len(u), 1e-8) for u, _ in used]
     bias, bias_square, move, move_square = -2.0, 1e-8, np.zeros((2, 2)), np.full((2, 2), 1e-8)
-    inner = np.ones(len(at), bool)
-    inner[first] = False
+    inner = np.ones(len(y), bool)
+    inner[start[count > 0]] = False
     here = np.flatnonzero(inner)
+    pairs = np.bincount(2 * label[here - 1] + label[here], minlength=4).reshape(2, 2)
     for _ in range(rounds):
-        score = np.clip(bias + sum(v[i] for v, (_, i) in zip(weights, used, strict=True)), -30, 30)
-        odds, potential = np.exp(score), np.exp(move)
-        p = marginals(odds, first, n, potential, 2 * AROUND + 1)
-        error = (y - p) / len(centres)
+        score = np.full(len(y), bias)
+        for v, (_, i) in zip(weights, used, strict=True):
+            score += v[i]
+        p, moves = expected(np.exp(np.clip(score, -30, 30)), start, count, np.exp(move))
+        error = (y - p) / len(hits)
         for v, s, (u, i) in zip(weights, squares, used, strict=True):
             g = np.bincount(i, error, len(u)) - 1e-5 * v
             s += g * g
@@ -245,13 +259,7 @@ def fit_batches(batches: Iterator[pa.RecordBatch], share: float | None = None, r
         g = error.sum()
         bias_square += g * g
         bias += 0.2 * g / np.sqrt(bias_square)
-        # marginals of moves from those of places: expected pairs under the local conditional
-        q = np.stack([1 - p, p])
-        o = np.stack([np.ones_like(odds), odds])
-        pair = q[:, here - 1][:, None, :] * potential[:, :, None] * o[:, here][None, :, :]
-        pair /= pair.sum((0, 1))
-        yy = np.stack([1 - y, y]).astype(bool)
-        g = np.array([[(yy[i, here - 1] & yy[j, here]).sum() - pair[i, j].sum() for j in (0, 1)] for i in (0, 1)]) / len(centres)
+        g = (pairs - moves) / len(hits)
         move_square += g * g
         move += 0.1 * g / np.sqrt(move_square)
     tables = []
@@ -312,7 +320,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, fi
     """(text, toxic) of at most fit_rows labelled documents of each kind."""
     kinds = [agreed(labels, id_col).filter(F.col("toxic") == t).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows) for t in (0, 1)]
     chosen = F.broadcast(kinds[0].unionByName(kinds[1]).select("__id", "toxic"))  # bounded by fit_rows
-    return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).filter("text is not null").join(chosen, "__id").dropDuplicates(["__id"]).select("text", (F.col("toxic") == 1).alias("toxic"))
+    return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).filter("text is not null").join(chosen, "__id").groupBy("__id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("least.text", (F.col("toxic") == 1).alias("toxic"))
 
 
 def toxic_spans(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:

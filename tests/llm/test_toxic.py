@@ -32,6 +32,41 @@ def test_marginals_against_all_labellings(chains, potentials, block):
     np.testing.assert_allclose(got, want, rtol=1e-6, atol=1e-9)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.floats(-2, 2), min_size=1, max_size=8), min_size=1, max_size=3), st.lists(st.floats(-1.5, 1.5), min_size=4, max_size=4), st.integers(1, 5))
+def test_gradient_against_finite_differences(chains, moves, block):
+    """Marginals of places and of moves are the derivatives of the log of all labellings' potentials."""
+    count = np.array([len(c) for c in chains], np.int64)
+    scores, moves = np.array([x for c in chains for x in c]), np.array(moves)
+
+    def log_sum(scores, moves):
+        move, total, at = np.exp(moves).reshape(2, 2), 0.0, 0
+        for n in count:
+            s, at = scores[at : at + n], at + n
+            total += np.log(sum(np.exp(np.dot(s, y)) * np.prod([move[a, b] for a, b in itertools.pairwise(y)]) for y in itertools.product((0, 1), repeat=int(n))))
+        return total
+
+    p, pairs = toxic_crf.expected(np.exp(scores), np.cumsum(count) - count, count, np.exp(moves).reshape(2, 2), block)
+    for of, got in ((0, p), (1, pairs.ravel())):
+        for i in range(len(got)):
+            step = np.zeros(len((scores, moves)[of]))
+            step[i] = 1e-5
+            up, down = [(scores + d, moves) if of == 0 else (scores, moves + d) for d in (step, -step)]
+            assert abs((log_sum(*up) - log_sum(*down)) / 2e-5 - got[i]) < 1e-4
+
+
+def test_no_feature_loses_its_weight():
+    r = np.random.default_rng(3)
+    features = np.unique(r.integers(1, 1 << 63, 60_000, dtype=np.uint64) << np.uint64(1))
+    features = np.concatenate([features, np.arange(1, 400, dtype=np.uint64)])  # many in one slot
+    weights = r.normal(size=len(features))
+    table = toxic_crf.Table(features, weights)
+    order = r.permutation(len(features))
+    assert (table.of(features[order]) == weights[order]).all()
+    assert not table.of(np.concatenate([[0], features[:1000] + np.uint64(1 << 40)]).astype(np.uint64))[:1].any()
+    assert (toxic_crf.Table(features[:0], weights[:0]).of(features[:9]) == 0).all()
+
+
 def corpus(n: int = 400, seed: int = 1):
     r = random.Random(seed)
     texts, toxic = {}, {}
@@ -72,6 +107,15 @@ def test_odd_rows(spark):
     assert next(r for r in got if r.doc_id == 7001).spans[0].start_char == 80_000
 
 
+def test_one_of_an_ids_texts_is_fitted_on(spark):
+    """The same one in any order of the rows."""
+    rows = tx.rows({i: f"text {i}" for i in range(20)})
+    twice = [*rows, *[(i, f"other text {i}", *rest) for i, _, *rest in rows]]
+    marks = labels(spark, {i: i % 2 for i in range(20)})
+    got = [sorted(toxic_crf.training_rows(tx.frame(spark, x).repartition(n), marks, "doc_id", "text", 50).collect()) for x, n in ((twice, 1), (twice[::-1], 3))]
+    assert got[0] == got[1] and len(got[0]) == 20
+
+
 @pytest.mark.parametrize("marks", [{}, {0: 1, 5: 1}, {1: 0, 2: 0}])
 def test_nothing_to_fit(spark, marks):
     texts, _ = corpus(20)
