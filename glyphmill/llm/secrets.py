@@ -137,10 +137,11 @@ def _scan(id_col: str, allow: tuple[str, ...]):
             if not found:
                 continue
             which = pa.array([x[0] for x in found], pa.int64())
-            spans = []
-            for i, s, e, _, _, at in found:
-                before = tv.code_points(data[offsets[i] : offsets[i] + s])[-1]
-                spans.append((int(before), int(before) + e - s, int(before) + at))
+            # characters before each byte of the chunk, counted once however many secrets a text holds
+            before = tv.code_points(data)
+            text = np.array([x[0] for x in found])
+            begin = before[offsets[text] + [x[1] for x in found]] - before[offsets[text]]
+            spans = [(b, b + e - s, b + at) for b, (_, s, e, _, _, at) in zip(begin.tolist(), found, strict=True)]
             ids = rows.column(id_col).take(which)
             columns = [ids, *(pa.array([x[j] for x in spans], pa.int32()) for j in range(2)), pa.array([x[3] for x in found]), pa.array([x[2] for x in spans], pa.int32()), pa.array([millibits(x[4]) for x in found], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "start_char", "end_char", "kind", "window_char", "entropy_mbits"])
