@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from glyphmill.llm.near_dups import keep_one
 from glyphmill.llm.packing import packed
 from glyphmill.llm.quality import resample
+from glyphmill.llm.queries import VOCABULARY
 from glyphmill.llm.scratch import Scratch
 from glyphmill.llm.secrets import redact
 from glyphmill.llm.substrings import remove_repeats
@@ -38,8 +39,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(window_id, doc_id, start_token, n_tokens): what each training window holds."""
-    return packed(spark, docs)
+    """(window_id, doc_id, start_token, n_tokens): what each training window holds, by the tokens of op1's vocabulary."""
+    return packed(spark, docs, tokenizer=VOCABULARY)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("secrets", secret_redaction), ("packing", packing)]

@@ -6,10 +6,9 @@ closest to the rest is found by subset sums in a bitset, one bit a sum, and walk
 each length; the same multiset then fills as many windows as the counts allow. A document of more
 tokens than a window fills whole windows, and the rest of it is packed like any other.
 
-A text's tokens are those of ``tokenizer``, a file of ranks; without one they are estimated as
-max(1, characters div 4), and start_token and n_tokens address no real tokens. Defined results: a null or empty text has
-no tokens and is in no window; repeated rows are packed each; ties in length go by id (null last),
-then by the text's hash.
+A text's tokens are those of ``tokenizer``, a file of ranks, or the numbers in a column ``tokens``
+that docs has already. Defined results: a null or empty text, or one with null or no tokens, is in no
+window; repeated rows are packed each; ties in length go by id (null last), then by the text's hash.
 """
 
 from __future__ import annotations
@@ -120,24 +119,22 @@ def _pack_group(id_col: str, capacity: int):
     return run
 
 
-def token_estimate(text: str) -> F.Column:
-    return F.when(F.length(text) > 0, F.greatest(F.lit(1), F.floor(F.length(text) / 4))).otherwise(F.lit(0)).cast("long")
-
-
-def _counted(docs: DataFrame, id_col: str, text: str, tokenizer: str | None) -> DataFrame:
+def _counted(docs: DataFrame, id_col: str, text: str, tokenizer: str | None, tokens: str | None) -> DataFrame:
     """(id, key, n) of each row: its text's hash and tokens."""
     key = F.xxhash64(cs.col(text)).alias("key")
+    if tokens:
+        return docs.select(F.col(id_col), key, cs.col(tokens).cast("long").alias("n"))
     if not tokenizer:
-        return docs.select(F.col(id_col), key, token_estimate(text).alias("n"))
+        raise ValueError("packing needs a tokenizer's file or a column of token counts")
     rows = docs.select(F.struct(F.col(id_col).alias("id"), key).alias("who"), F.col(text).alias("text"))
     return token_counts(rows, tokenizer, "who", "text").select(F.col("who.id").alias(id_col), "who.key", F.col("n_tokens").alias("n"))
 
 
-def packed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group: int = GROUP, tokenizer: str | None = None) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group: int = GROUP, tokenizer: str | None = None, tokens: str | None = None) -> DataFrame:
     """(window_id, doc_id, start_token, n_tokens): the piece of the document that each window holds."""
     kind = docs.schema[id_col].dataType.simpleString()
     scratch = Scratch(spark, "packing")
-    lengths = scratch.put(_counted(docs, id_col, text, tokenizer).filter("n > 0"))
+    lengths = scratch.put(_counted(docs, id_col, text, tokenizer, tokens).filter("n > 0"))
     groups = max(1, -(-lengths.count() // group))
     dealt = lengths.withColumn("grp", F.pmod(F.xxhash64(F.col(id_col), F.col("key")), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(_pack_group(id_col, capacity), f"window_id long, `{id_col}` {kind}, start_token long, n_tokens int")

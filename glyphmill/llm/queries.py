@@ -12,6 +12,7 @@ from glyphmill.llm import bpe, mtree, near_dups, packing, quality, secrets, sql,
 
 #: Folder of the public vocabulary files, the same on every machine.
 TOKENIZERS = os.environ.get("GLYPHMILL_TOKENIZERS", "/opt/tokenizers")
+VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: The ids that are divisible by it are op10's queries.
 EVERY = 50
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op2_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +51,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(spark, table(spark, sf_dir, "documents"))
-
-
-def op8_packing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_packing by the tokens of op1's vocabulary instead of the estimate."""
-    return packing.packed(spark, table(spark, sf_dir, "documents"), tokenizer=f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    """By the tokens of op1's vocabulary."""
+    return packing.packed(spark, table(spark, sf_dir, "documents"), tokenizer=VOCABULARY)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +66,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_embedding_near_dups, op3_toxic_spans, op4_repeated_passages, op5_secret_scan, op6_quality_resample, op7_near_duplicates, op8_packing, op8_packing_tokens, op9_bpe, op10_exact_top_k)
+    for f in (op1_token_counts, op2_embedding_near_dups, op3_toxic_spans, op4_repeated_passages, op5_secret_scan, op6_quality_resample, op7_near_duplicates, op8_packing, op9_bpe, op10_exact_top_k)
 }
 ORACLE: dict[str, str] = {
     "op2_embedding_near_dups": sql.near_groups(vector_graph.THRESHOLD),
