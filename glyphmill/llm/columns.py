@@ -15,6 +15,14 @@ def every(df: DataFrame) -> list[Column]:
     return [col(c) for c in df.columns]
 
 
+#: A text's identity in 128 bits.
+KEY = ["key", "key2"]
+
+
+def keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2")]
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

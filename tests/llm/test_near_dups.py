@@ -10,7 +10,9 @@ import pyarrow as pa
 import pytest
 import texts as tx
 
-from glyphmill.llm import near_dups, queries
+from pyspark.sql import functions as F
+
+from glyphmill.llm import components, near_dups, queries
 from glyphmill.llm import textvec as tv
 
 
@@ -135,7 +137,7 @@ def test_long_chains_are_one_component(spark):
     from glyphmill.llm.scratch import Scratch
 
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 201), (5, 5)], "a long, b long")
-    got = {r.node: r.root for r in near_dups.components(Scratch(spark, "t"), edges).collect()}
+    got = {r.node: r.root for r in components.components(Scratch(spark, "t"), edges).collect()}
     assert {got.get(i, i) for i in range(61)} == {0} and got[201] == 200
 
 
@@ -195,3 +197,39 @@ def test_the_limit_is_decided_on_exact_shingles(spark):
     assert all(jaccard(docs[i - 1], docs[i]) > 0.5 for i in over) and all(0.4 < jaccard(docs[i - 1], docs[i]) < 0.5 for i in under)
     gone = {r.doc_id for r in near_dups.near_duplicates(spark, tx.frame(spark, tx.rows(docs))).collect()}
     assert len(over & gone) >= 0.95 * len(over) and gone <= over
+
+
+def group_sets(rows) -> set:
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r.kept_doc_id, {r.kept_doc_id}).add(r.doc_id)
+    return {frozenset(g) for g in out.values()}
+
+
+def test_hot_bands_in_chunks(spark, monkeypatch):
+    """A third of all texts are copies of one, which share bands, with some that are less alike: as without chunks."""
+    base = tx.prose(1, 120)
+    texts = {i: changed(base, 0.02, i) for i in range(90)}
+    texts |= {100 + i: changed(base, 0.12, 1000 + i) for i in range(40)}
+    texts |= {200 + i: tx.prose(5000 + i // 2, 80) + (" end" if i % 2 else "") for i in range(120)}
+    df = tx.frame(spark, tx.rows(texts))
+    want = group_sets(near_dups.near_duplicates(spark, df).collect())
+    monkeypatch.setattr(near_dups, "HOT", 7)
+    assert group_sets(near_dups.near_duplicates(spark, df).collect()) == want and max(map(len, want)) >= 90
+
+
+def test_many_repeated_rows(spark):
+    """Of 200 rows with one id and text one stays, among others that stay too."""
+    rows = [(1, tx.prose(3, 40), "en", "a", 0)] * 200 + [(i, tx.prose(i, 40), "en", "a", 0) for i in range(10, 40)] + [(9, tx.prose(12, 40), "en", "b", 0)] * 3
+    df = tx.frame(spark, rows)
+    assert sorted(r.doc_id for r in near_dups.keep_one(spark, df).collect()) == [1, 9, 10, 11, *range(13, 40)]
+
+
+def test_texts_whose_first_hashes_collide(spark, monkeypatch):
+    """The second 64 bits tell them apart."""
+    from glyphmill.llm import columns as cs
+
+    monkeypatch.setattr(cs, "keys", lambda c: [F.lit(7).cast("long").alias("key"), F.xxhash64(F.lit(1), c).alias("key2")])
+    texts = {1: tx.prose(1, 60), 2: tx.prose(2, 60), 3: tx.prose(1, 60), 4: tx.prose(4, 60), 5: changed(tx.prose(4, 60), 0.02, 5)}
+    df = tx.frame(spark, tx.rows(texts))
+    assert sorted(r.doc_id for r in near_dups.keep_one(spark, df).collect()) == [1, 2, 4]
