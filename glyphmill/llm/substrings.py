@@ -9,8 +9,13 @@ first full level; longer windows are combined from the hashes of their halves.
 
 Defined results: rows with the same id and text are one document; a null, blank or shorter text has
 no repeated passage; a text of which several documents hold copies repeats as a whole; no other
-column than the id and the text is read. At 64 bits a hash, the windows of one corpus collide with
-odds of n^2 / 2^65, and a false repeat has to collide at the anchor and at the first level alike.
+column than the id and the text is read. Texts are told apart by 128 bits of hash. At 64 bits, n
+windows collide n^2 / 2^65 times, and a false repeat has to collide at the anchor and at the first
+level alike.
+
+A window that occurs more than some ``HOT`` times, found by its count in one of ``SHARE`` texts, isn't
+gathered in one task: its first and last place are aggregated before they are shuffled and joined
+back. The sample decides the way only; all windows are counted either way.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from glyphmill.llm import columns as cs
 from glyphmill.llm import textvec as tv
 from glyphmill.llm.scratch import Scratch
 
-MIN_WORDS = 50
+MIN_WORDS, HOT, SHARE = 50, 4_000_000, 1000
 WINDOW = "h long, key long, pos int"
 STEP = "kind int, key long, pos int, to int, h long"
 SPANS, CUTS, WINDOWS = 0, 1, 2
@@ -121,36 +126,55 @@ def _double(length: int):
     return run
 
 
-def _repeated(windows: DataFrame) -> DataFrame:
+def _repeated(windows: DataFrame, hot: list[int]) -> DataFrame:
     """Windows whose hash occurs at two places or more; first: none comes before it by key and place."""
     group = Window.partitionBy("h")
     place = F.struct("key", "pos")
-    return (
-        windows.withColumns({"least": F.min(place).over(group), "most": F.max(place).over(group)})
+    few = windows.filter(~F.col("h").isin(hot)) if hot else windows
+    found = (
+        few.withColumns({"least": F.min(place).over(group), "most": F.max(place).over(group)})
         .filter("least <> most")
         .select("key", "pos", "h", (place == F.col("least")).alias("first"))
     )
+    if not hot:
+        return found
+    many = windows.filter(F.col("h").isin(hot))
+    ends = many.groupBy("h").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most")
+    return found.unionByName(many.join(F.broadcast(ends), "h").select("key", "pos", "h", (place == F.col("least")).alias("first")))
+
+
+def _hot(sampled: DataFrame) -> list[int]:
+    """Hashes that occur very often, by the windows of one of SHARE texts; not more than the sample's windows by HOT / SHARE / 2."""
+    often = sampled.groupBy("h").count().filter(F.col("count") * SHARE * 2 >= HOT).select("h")
+    return [r[0] for r in often.collect()]
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select(F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text")).filter("text is not null")
+def keyed(docs: DataFrame, key: F.Column, text: str = "text") -> DataFrame:
+    return docs.select(key.alias("key"), cs.col(text).alias("text")).filter("text is not null")
 
 
-def repeated_levels(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, text: str = "text") -> list[tuple[int, DataFrame]]:
-    """For each level from ``min_words`` on: (length, kind int, key, pos, to), spans of words by hash of the text.
+def repeated_levels(spark: SparkSession, source: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> list[tuple[int, DataFrame]]:
+    """For each level from ``min_words`` on: (length, kind int, key, pos, to), spans of words by the text's key.
 
     Spans of SPANS are covered by repeated windows of that length, those of CUTS by all but the first
     of each. The list ends before the first level without repeated windows.
     """
     half = min_words // 2
-    source = keyed(docs, text)
-    anchors = source.mapInArrow(_anchors(half, min_words - half + 1), WINDOW)
-    places = _repeated(anchors).groupBy("key").agg(F.collect_set("pos").alias("anchors"))
-    places = scratch.put(places)
-    windows = source.join(places.hint("merge"), "key").mapInArrow(_around(half, min_words), WINDOW)
+    some = lambda df: df.filter(F.pmod(F.xxhash64("key"), F.lit(SHARE)) == 0)
+    at_anchors = lambda texts: texts.mapInArrow(_anchors(half, min_words - half + 1), WINDOW)
+    around = lambda texts, places: texts.join(places.hint("merge"), "key").mapInArrow(_around(half, min_words), WINDOW)
+    hot = _hot(at_anchors(some(source)))
+    anchors = at_anchors(source)
+    if hot:
+        anchors = scratch.put(anchors)
+    places = scratch.put(_repeated(anchors, hot).groupBy("key").agg(F.collect_set("pos").alias("anchors")))
+    windows, sampled = around(source, places), around(some(source), some(places))
     levels, length, before = [], min_words, places
     while True:
-        found = _repeated(windows)
+        # a window holds an anchor that occurs as often at least: without hot anchors no window is hot
+        if hot:
+            hot, windows = _hot(sampled), scratch.put(windows)
+        found = _repeated(windows, hot)
         step = scratch.put(found.repartition("key").sortWithinPartitions("key", "pos").mapInArrow(_double(length), STEP), "kind")
         scratch.collect_garbage()
         if before is not None:
@@ -160,6 +184,7 @@ def repeated_levels(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_
             return levels
         levels.append((length, step))
         windows = step.filter(F.col("kind") == WINDOWS).select("h", "key", "pos")
+        sampled = some(windows)
         length *= 2
 
 
@@ -190,24 +215,25 @@ def count_words(text: str) -> F.Column:
     return F.size(F.filter(F.split(blank, " "), lambda x: x != "")).cast("int")
 
 
-def copies(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+def copies(docs: DataFrame, key: F.Column, id_col: str, text: str, min_words: int) -> DataFrame:
     """Texts that several documents hold: key, the least id (null last), number of words."""
-    ids = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("key"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("who"), count_words(text).alias("n"))
+    ids = docs.filter(cs.col(text).isNotNull()).select(key.alias("key"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("who"), count_words(text).alias("n"))
     return ids.filter(F.col("n") >= min_words).groupBy("key").agg(F.min("who").alias("least"), F.max("who").alias("most"), F.max("n").alias("n")).filter("least <> most").select("key", F.col("least.id").alias("keeper"), "n")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, level): spans of words covered by repeated windows; level: the greatest window length that repeats inside."""
     scratch = Scratch(spark, "substrings")
-    levels = repeated_levels(spark, docs, scratch, min_words, text)
+    key = cs.one_key(docs.filter(cs.col(text).isNotNull()), cs.col(text))
+    levels = repeated_levels(spark, keyed(docs, key, text), scratch, min_words)
     spans = merged(levels, SPANS)
-    shared = copies(docs, id_col, text, min_words)
+    shared = copies(docs, key, id_col, text, min_words)
     level = F.lit(min_words) * F.pow(F.lit(2), F.floor(F.log2(F.col("n") / F.lit(min_words)) + F.lit(1e-9)))
     whole = shared.select("key", F.lit(0).alias("pos"), F.col("n").alias("to"), level.cast("int").alias("length"))
     if spans is not None:
         whole = spans.join(whole, "key", "left_anti").unionByName(whole)
     whole = scratch.put(whole)
-    names = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("key"), F.col(id_col).alias(id_col)).distinct()
+    names = docs.filter(cs.col(text).isNotNull()).select(key.alias("key"), F.col(id_col).alias(id_col)).distinct()
     return names.join(whole, "key").select(id_col, F.col("pos").alias("start_word"), F.col("to").alias("end_word"), F.col("length").alias("level"))
 
 
@@ -238,13 +264,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     where there is such a column, is set anew for texts that were cut.
     """
     scratch = Scratch(spark, "cuts")
-    cuts = merged(repeated_levels(spark, docs, scratch, min_words, text), CUTS)
+    own = cs.one_key(docs.filter(cs.col(text).isNotNull()), cs.col(text))
+    cuts = merged(repeated_levels(spark, keyed(docs, own, text), scratch, min_words), CUTS)
     key, keeper, spans_of, after = cs.free(docs, "__key", "__keeper", "__cuts", "__after")
     spans = cuts.groupBy("key").agg(F.collect_list(F.struct("pos", "to")).alias(spans_of)) if cuts is not None else spark.createDataFrame([], f"key long, {spans_of} array<struct<pos:int,to:int>>")
-    shared = copies(docs, id_col, text, min_words).select("key", F.struct("keeper").alias(keeper))
+    shared = copies(docs, own, id_col, text, min_words).select("key", F.struct("keeper").alias(keeper))
     what = scratch.put(spans.join(shared, "key", "full").withColumnRenamed("key", key))
     # what is cut grows with the documents, hence no broadcast at any size
-    joined = docs.withColumn(key, F.xxhash64(cs.col(text))).join(what.hint("merge"), key, "left")
+    joined = docs.withColumn(key, own).join(what.hint("merge"), key, "left")
     joined = joined.filter(cs.col(text).isNull() | F.col(keeper).isNull() | F.col(keeper)["keeper"].eqNullSafe(cs.col(id_col)))
     changes = F.col(spans_of).isNotNull() & cs.col(text).isNotNull()
     joined = joined.withColumn(after, F.arrow_udf(_cut, StringType())(F.when(changes, cs.col(text)), F.when(changes, F.col(spans_of))))

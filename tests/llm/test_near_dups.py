@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import texts as tx
-
 from pyspark.sql import functions as F
 
 from glyphmill.llm import components, near_dups, queries

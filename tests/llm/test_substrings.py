@@ -5,7 +5,9 @@ from collections import defaultdict
 
 import pytest
 import texts as tx
+from pyspark.sql import functions as F
 
+from glyphmill.llm import columns as cs
 from glyphmill.llm import queries, substrings
 
 
@@ -99,6 +101,26 @@ def test_empty_table(spark):
     assert substrings.remove_repeats(spark, tx.frame(spark, [])).count() == 0
 
 
+def test_windows_that_occur_very_often(spark, monkeypatch):
+    """A passage that a third of all texts hold: as by the other way."""
+    often = tx.prose(77, 130)
+    rows = tx.rows(shared() | {200 + i: f"{tx.prose(900 + i, i % 9)} {often} {tx.prose(800 + i, i % 7)}" for i in range(25)})
+    df = tx.frame(spark, rows, True)
+    cut = sorted(map(str, substrings.remove_repeats(spark, df).select("doc_id", "text").collect()))
+    monkeypatch.setattr(substrings, "HOT", 12)
+    monkeypatch.setattr(substrings, "SHARE", 1)
+    got = {(r.doc_id, r.start_word, r.end_word) for r in substrings.repeated_passages(spark, df).collect()}
+    assert got == brute(rows, 50)
+    assert sorted(map(str, substrings.remove_repeats(spark, df).select("doc_id", "text").collect())) == cut
+
+
+def test_texts_whose_first_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(cs, "keys", lambda c: [F.pmod(F.length(c), F.lit(3)).cast("long").alias("key"), F.xxhash64(F.lit(1), c).alias("key2")])
+    rows = tx.rows(shared(5))
+    got = {(r.doc_id, r.start_word, r.end_word) for r in substrings.repeated_passages(spark, tx.frame(spark, rows)).collect()}
+    assert got == brute(rows, 50)
+
+
 def test_query(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = {(r.doc_id, r.start_word, r.end_word) for r in queries.op4_repeated_passages(spark, small).collect()}
