@@ -7,6 +7,7 @@ this isn't what one alternation would find, hence the Arrow functions.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -37,8 +38,33 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", Integ
 MASKED = StructType([StructField("text", StringType()), StructField("taken", ArrayType(StringType()))])
 
 
+#: What a region of a kind begins with. The other kinds hold no space: they are looked for between the spaces round a sign.
+_OPENS = {"fenced_code": "```", "html_code": "<", "html_tag": "<", "inline_code": "`", "filepath_unix": "/", "mention": "@", "hashtag": "#", "regex": "/"}
+_HOLDS = {"email": re.compile("@"), "url": re.compile("://"), "filepath_win": re.compile(r":\\"), "version": re.compile(r"[vV](?=\d)"), "camelcase": re.compile("[A-Z](?<=[a-z].)"), "snakecase": re.compile("_")}
+
+
+def _found(kind: str, text: str) -> Iterator[re.Match]:
+    """As the pattern's finditer, which looks at every character, by search for what its matches hold."""
+    pattern = PATTERNS[kind]
+    if kind in _OPENS:
+        at = text.find(_OPENS[kind])
+        while at >= 0:
+            m = pattern.match(text, at)
+            if m:
+                yield m
+            at = text.find(_OPENS[kind], m.end() if m else at + 1)
+        return
+    upto = 0
+    for sign in _HOLDS[kind].finditer(text):
+        if sign.start() < upto:
+            continue
+        end = text.find(" ", sign.end())
+        upto = end if end >= 0 else len(text)
+        yield from pattern.finditer(text, text.rfind(" ", 0, sign.start()) + 1, upto)
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
-    found = sorted(((m.start(), -m.end(), k, name) for k, (name, p) in enumerate(PATTERNS.items()) for m in p.finditer(text)))
+    found = sorted((m.start(), -m.end(), k, name) for k, name in enumerate(PATTERNS) for m in _found(name, text))
     out, upto = [], 0
     for start, end, _, name in found:
         if start >= upto:
@@ -61,6 +87,8 @@ def mask(text: str) -> tuple[str, list[str]]:
 
 
 def unmask(text: str, taken: list[str]) -> str:
+    if len(taken) > 8 and text.count("\0EXCL") == len(taken) and not any("\0" in x for x in taken):  # one pass
+        return re.sub("\0EXCL(\\d{4,})\0", lambda m: taken[int(m[1])] if int(m[1]) < len(taken) else m[0], text)
     for i, original in enumerate(taken):
         text = text.replace(placeholder(i), original)
     return text

@@ -42,6 +42,11 @@ def java_replacement(template: str) -> str:
     return "".join(out)
 
 
+def python_template(template: str) -> str:
+    """For re.sub."""
+    return "".join(rf"\g<{p[1]}>" if re.fullmatch(r"\\\d", p) else p.replace("\\", r"\\") for p in re.split(r"(\\\d)", template))
+
+
 def python_replacement(template: str):
     parts = re.split(r"(\\\d)", template)
     return lambda m: "".join(m[int(p[1])] if re.fullmatch(r"\\\d", p) else p for p in parts)

@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -27,7 +28,11 @@ Edit = tuple[int, str, str, str]  # position, original, replacement, rule id
 
 @dataclass(frozen=True)
 class Sub:
-    """A pattern template and its replacement. guard: text that any match holds, for a cheap test first in Python."""
+    """A pattern template and its replacement. guard: text that any match holds, for a cheap test first in Python.
+
+    Where a match holds a fixed sign the pattern begins with it and looks behind afterwards, as a
+    search for a sign is the fastest there is.
+    """
 
     pattern: str
     replacement: str
@@ -37,17 +42,24 @@ class Sub:
     def apply(self, c: Column) -> Column:
         return F.regexp_replace(c, F.lit(regex.java(self.pattern)), F.lit(regex.java_replacement(self.replacement)))
 
-    def run(self, text: str, rule: str, log: list[Edit]) -> str:
+    def run(self, text: str, rule: str, log: list[Edit] | None) -> str:
         if self.guard and self.guard not in text:
             return text
-        put = regex.python_replacement(self.replacement)
+        pattern, template, put = _compiled(self.pattern, self.replacement)
+        if log is None:
+            return pattern.sub(template, text)
 
         def one(m: re.Match) -> str:
             new = put(m)
             log.append((m.start(), m[0], new, self.rule or rule))
             return new
 
-        return regex.python(self.pattern.replace(LETTER, r"[^\W\d_]")).sub(one, text)
+        return pattern.sub(one, text)
+
+
+@cache
+def _compiled(pattern: str, replacement: str) -> tuple:
+    return regex.python(pattern.replace(LETTER, r"[^\W\d_]")), regex.python_template(replacement), regex.python_replacement(replacement)
 
 
 @dataclass(frozen=True)
@@ -57,8 +69,9 @@ class Rule:
     langs: tuple[str, ...] = ()
     risky: bool = False  # left out when strict
     column: Callable[[Column, str], Column] | None = None
-    python: Callable[[str, str, list[Edit]], str] | None = None
-    first: bool = field(default=False)
+    python: Callable[[str, str, list[Edit] | None], str] | None = None
+    #: What any text that the rule changes holds, for one cheap test first in Python.
+    need: str | None = None
 
     def holds(self, lang: str, strict: bool = False) -> bool:
         return (not self.langs or lang in self.langs) and not (strict and self.risky)
@@ -76,14 +89,22 @@ class Rule:
             return done
         return F.when(c.rlike("|".join(sorted(re.escape(g) for g in guards))), done).otherwise(c)
 
-    def run(self, text: str, lang: str, log: list[Edit]) -> str:
+    def run(self, text: str, lang: str, log: list[Edit] | None) -> str:
+        """The text after the rule; the corrections go to log, if there is one."""
+        if self.need and not regex.python(self.need).search(text):
+            return text
         if self.python:
             return self.python(text, lang, log)
-        for s in self.subs(lang):
+        for s in _steps(self, lang):
             text = s.run(text, self.name, log)
         return text
 
 
+@cache
+def _steps(rule: Rule, lang: str) -> tuple[Sub, ...]:
+    return tuple(rule.subs(lang))
+
+
 def _begin(letter: str) -> str:
     """A word's first letter; the test of what is before it comes second, as few places get that far."""
     return f"{letter}(?<!§w§{letter})"
@@ -112,7 +133,7 @@ def _legal(lang: str) -> list[Sub]:
 
 
 def _fractions(lang: str) -> list[Sub]:
-    return [Sub(rf"(?<![§d§]){a}(?![§d§/])", b, a) for a, b in dims.FRACTIONS.items()]
+    return [Sub(rf"{a}(?<![§d§]{a})(?![§d§/])", b, a) for a, b in dims.FRACTIONS.items()]
 
 
 _AFTER_MARK = r"(?=[§s§,;:.!?)\]}]|§end§)"
@@ -124,7 +145,7 @@ def _primes(lang: str) -> list[Sub]:
 
 def _dashes(lang: str) -> list[Sub]:
     new, rule = ("—", "em_dash") if lang == "en-US" else (" – ", "en_dash")
-    return [Sub(r"(?<=[^\-§d§]) - (?=[^\-§d§])", new, " - ", rule)]
+    return [Sub(r" - (?<=[^\-§d§] - )(?=[^\-§d§])", new, " - ", rule)]
 
 
 def _units(lang: str) -> list[Sub]:
@@ -181,95 +202,118 @@ def _nfc_column(c: Column, lang: str) -> Column:
     return F.coalesce(F.arrow_udf(_nfc, StringType())(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
-def _nfc_python(text: str, lang: str, log: list[Edit]) -> str:
+def _nfc_python(text: str, lang: str, log: list[Edit] | None) -> str:
+    if text.isascii() or unicodedata.is_normalized("NFC", text):
+        return text
     new = unicodedata.normalize("NFC", text)
-    if new != text:
+    if log is not None:
         log.append((0, "(composite characters)", "(NFC-normalized)", "nfc_normalization"))
     return new
 
 
+def _joined(parts: Column, mark: Callable[[Column, Column], Column]) -> Column:
+    """The parts, each but the first with what ``mark`` gives for it and its place before it."""
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(mark(x, i), x))), "")
+
+
 def _quotes_column(c: Column, lang: str) -> Column:
     opening, closing, _, _, space = dims.QUOTES[lang]
     if lang != "en-GB":
-        parts = F.split(c, '"')
-        mark = lambda i: F.when(i == 0, F.lit("")).when(i % 2 == 1, F.lit(opening + space)).otherwise(F.lit(space + closing))
-        return F.when(F.contains(c, F.lit('"')), F.array_join(F.transform(parts, lambda x, i: F.concat(mark(i), x)), "")).otherwise(c)
-    # pieces between apostrophes; the state is what is written, whether a quote is open, and whether the last character belongs to a word
+        mark = lambda x, i: F.when(i % 2 == 1, F.lit(opening + space)).otherwise(F.lit(space + closing))
+        return F.when(F.contains(c, F.lit('"')), _joined(F.split(c, '"'), mark)).otherwise(c)
+    # at each apostrophe: whether a letter or digit is before and after it; then a fold over these alone, which gives
+    # 0 as it is, 1 opening, 2 closing, and joins the pieces once
     word = r"[\p{L}\p{Nd}]"
     parts = F.split(c, "'")
+    ends = F.transform(parts, lambda x: F.rlike(F.right(x, F.lit(1)), F.lit(word)))
+    begins = F.transform(parts, lambda x: F.rlike(F.left(x, F.lit(1)), F.lit(word)))
+    sides = F.arrays_zip(F.slice(ends, F.lit(1), F.size(parts) - 1).alias("before"), F.slice(begins, F.lit(2), F.size(parts)).alias("after"))
 
     def step(s: Column, x: Column) -> Column:
-        after = F.rlike(F.left(x, F.lit(1)), F.lit(word))
-        opens, closes = ~s.open & ~s.word, s.open & ~after
-        mark = F.when(s.word & after, F.lit("'")).when(opens, F.lit(opening)).when(closes, F.lit(closing)).otherwise(F.lit("'"))
-        inside = F.when(s.word & after, s.open).otherwise((s.open | opens) & ~closes)
-        return F.struct(F.concat(s.out, mark, x).alias("out"), inside.alias("open"), F.rlike(F.right(x, F.lit(1)), F.lit(word)).alias("word"))
-
-    first = F.element_at(parts, 1)
-    begin = F.struct(first.alias("out"), F.lit(False).alias("open"), F.rlike(F.right(first, F.lit(1)), F.lit(word)).alias("word"))
-    done = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), begin, step)["out"]
+        opens, closes = ~s.open & ~x["before"], s.open & ~x["after"]
+        mark = F.when(x["before"] & x["after"], 0).when(opens, 1).when(closes, 2).otherwise(0)
+        inside = F.when(x["before"] & x["after"], s.open).otherwise((s.open | opens) & ~closes)
+        return F.struct(F.concat(s.marks, F.array(mark)).alias("marks"), inside.alias("open"))
+
+    marks = F.aggregate(sides, F.struct(F.array().cast("array<int>").alias("marks"), F.lit(False).alias("open")), step)["marks"]
+    both = F.arrays_zip(parts.alias("part"), F.concat(F.array(F.lit(-1)), marks).alias("mark"))
+    new = lambda m: F.when(m == 1, F.lit(opening)).when(m == 2, F.lit(closing)).otherwise(F.lit("'"))
+    done = F.array_join(F.transform(both, lambda x: F.when(x["mark"] < 0, x["part"]).otherwise(F.concat(new(x["mark"]), x["part"]))), "")
     return F.when(F.contains(c, F.lit("'")), done).otherwise(c)
 
 
-def _quotes_python(text: str, lang: str, log: list[Edit]) -> str:
+def _quotes_python(text: str, lang: str, log: list[Edit] | None) -> str:
     opening, closing, _, _, space = dims.QUOTES[lang]
-    out, inside = [], False
     mark = "'" if lang == "en-GB" else '"'
-    word = lambda i: 0 <= i < len(text) and (text[i].isalpha() or text[i].isdigit())
-    for i, c in enumerate(text):
-        new = c
-        if c == mark and lang != "en-GB":
+    parts = text.split(mark)
+    if len(parts) == 1:
+        return text
+    out, inside, at = [parts[0]], False, len(parts[0])
+    word = lambda c: c.isalpha() or c.isdigit()
+    for x in parts[1:]:
+        new = mark
+        if lang != "en-GB":
             new = space + closing if inside else opening + space
             inside = not inside
-        elif c == mark and not (word(i - 1) and word(i + 1)):
-            if not inside and not word(i - 1):
-                new, inside = opening, True
-            elif inside and not word(i + 1):
-                new, inside = closing, False
-        if new != c:
-            log.append((i, c, new, "quotation_marks"))
-        out.append(new)
+        else:
+            before, after = at > 0 and word(text[at - 1]), at + 1 < len(text) and word(text[at + 1])
+            if not (before and after):
+                if not inside and not before:
+                    new, inside = opening, True
+                elif inside and not after:
+                    new, inside = closing, False
+        if log is not None and new != mark:
+            log.append((at, mark, new, "quotation_marks"))
+        out += [new, x]
+        at += 1 + len(x)
     return "".join(out)
 
 
 def _nested_column(c: Column, lang: str) -> Column:
+    """Depths come from the marks alone; the pieces between them are joined once."""
+    marks = F.regexp_extract_all(c, F.lit("[()]"), F.lit(0))
+
     def step(s: Column, x: Column) -> Column:
-        rest = F.substring(x, 2, 2147483647)
-        opens, closes = F.startswith(x, F.lit("(")), F.startswith(x, F.lit(")"))
+        opens = x == "("
         mark = F.when(opens, F.when(s.depth >= 1, F.lit("[")).otherwise(F.lit("("))).otherwise(F.when(s.depth > 1, F.lit("]")).otherwise(F.lit(")")))
-        out = F.when(opens | closes, F.concat(s.out, mark, rest)).otherwise(F.concat(s.out, x))
-        depth = F.when(opens, s.depth + 1).when(closes, F.greatest(F.lit(0), s.depth - 1)).otherwise(s.depth)
-        return F.struct(out.alias("out"), depth.alias("depth"))
+        return F.struct(F.concat(s.marks, F.array(mark)).alias("marks"), F.when(opens, s.depth + 1).otherwise(F.greatest(F.lit(0), s.depth - 1)).alias("depth"))
 
-    done = F.aggregate(F.split(c, r"(?=[()])"), F.struct(F.lit("").alias("out"), F.lit(0).alias("depth")), step)["out"]
+    new = F.aggregate(marks, F.struct(F.array().cast("array<string>").alias("marks"), F.lit(0).alias("depth")), step)["marks"]
+    both = F.arrays_zip(F.split(c, "[()]").alias("part"), F.concat(F.array(F.lit("")), new).alias("mark"))
+    done = F.array_join(F.transform(both, lambda x: F.concat(x["mark"], x["part"])), "")
     return F.when(F.contains(c, F.lit("(")), done).otherwise(c)
 
 
-def _nested_python(text: str, lang: str, log: list[Edit]) -> str:
-    out, depth = list(text), 0
+def _nested_python(text: str, lang: str, log: list[Edit] | None) -> str:
+    parts, depth, at = [], 0, 0
     for m in re.finditer(r"[()]", text):
         inner = depth >= 1 if m[0] == "(" else depth > 1
         depth = depth + 1 if m[0] == "(" else max(0, depth - 1)
         if inner:
-            out[m.start()] = "[" if m[0] == "(" else "]"
-            log.append((m.start(), m[0], out[m.start()], "nested_parentheticals"))
-    return "".join(out)
+            new = "[" if m[0] == "(" else "]"
+            parts += [text[at : m.start()], new]
+            at = m.end()
+            if log is not None:
+                log.append((m.start(), m[0], new, "nested_parentheticals"))
+    return "".join(parts) + text[at:]
 
 
-def _initials_python(text: str, lang: str, log: list[Edit]) -> str:
+def _initials_python(text: str, lang: str, log: list[Edit] | None) -> str:
     def one(m: re.Match) -> str:
-        log.append((m.start(), m[0] + m[1], m[0] + NBSP + m[1], "nbsp_between_initials"))
+        if log is not None:
+            log.append((m.start(), m[0] + m[1], m[0] + NBSP + m[1], "nbsp_between_initials"))
         return m[0] + NBSP
 
     return re.sub(r"[A-Z]\.(?=([A-Z]\.))", one, text)
 
 
-def _containers_python(text: str, lang: str, log: list[Edit]) -> str:
+def _containers_python(text: str, lang: str, log: list[Edit] | None) -> str:
     unit = rf"[A-Z]\.{NBSP}"
 
     def one(m: re.Match) -> str:
         new = m[1] + m[2][:-1].replace(NBSP, " ") + NBSP + m[3]
-        log.append((m.start(), m[0], new, "breakable_containers"))
+        if log is not None:
+            log.append((m.start(), m[0], new, "breakable_containers"))
         return new
 
     return re.sub(rf"({unit})((?:{unit}){{2,}})([A-Za-zÀ-ɏ]+)", one, text)
@@ -283,25 +327,25 @@ _PT, _ES, _EN = ("pt-PT", "pt-BR"), ("es-ES", "es-MX"), ("en-US", "en-GB")
 
 RULES: tuple[Rule, ...] = (
     Rule("nfc_normalization", column=_nfc_column, python=_nfc_python),
-    Rule("zero_width_chars", _only(Sub(rf"(?<={LETTER}){ZWSP}(?={LETTER})", " ", ZWSP), Sub(rf"{ZWSP}|(?<=[\s\S]){BOM}", ""))),
+    Rule("zero_width_chars", _only(Sub(rf"{ZWSP}(?<={LETTER}{ZWSP})(?={LETTER})", " ", ZWSP), Sub(rf"{ZWSP}|(?<=[\s\S]){BOM}", "")), need=f"[{ZWSP}{BOM}]"),
     Rule("romanian_diacritics", _only(*(Sub(a, b, a) for a, b in zip(*dims.CEDILLAS, strict=True))), ("ro-RO",)),
-    Rule("french_ligatures", _ligatures, ("fr-FR",)),
+    Rule("french_ligatures", _ligatures, ("fr-FR",), need="[oO][eE]"),
     Rule("french_capital_accents", lambda lang: _words(dims.FRENCH_CAPITALS), ("fr-FR",)),
-    Rule("homoglyph_detection", _homoglyphs),
+    Rule("homoglyph_detection", _homoglyphs, need="[º°β]"),
     Rule("ellipsis", _only(Sub(r"\.{3}", "…", "..."))),
     Rule("legal_symbols", _legal),
-    Rule("fractions", _fractions),
-    Rule("primes", _primes),
+    Rule("fractions", _fractions, need="/"),
+    Rule("primes", _primes, need="['\"](?<=[§d§].)"),
     Rule("quotation_marks", column=_quotes_column, python=_quotes_python),
-    Rule("apostrophe", _only(Sub(r"(?<=§w§)'(?=§w§)", "’", "'"))),
+    Rule("apostrophe", _only(Sub(r"'(?<=§w§')(?=§w§)", "’", "'"))),
     Rule("dashes", _dashes, _EN, True),
-    Rule("range_dash", _only(Sub(r"(?<![a-zA-Z\-])([§d§]+)-([§d§]+)(?![a-zA-Z\-])", r"\1–\2", "-")), risky=True),
-    Rule("minus_sign", _only(Sub(r"(?<=[§s§(=:,])-(?=[§d§])", "−", "-"), Sub(r"(?<![\s\S])-(?=[§d§])", "−", "-"), Sub(r"([§d§]) - ([§d§])", r"\1 − \2", " - ")), risky=True),
-    Rule("multiplication_sign", _only(Sub(r"([§d§])[§s§]?[xX][§s§]?([§d§])", rf"\1{THIN}×{THIN}\2")), risky=True),
+    Rule("range_dash", _only(Sub(r"(?<![a-zA-Z\-])([§d§]+)-([§d§]+)(?![a-zA-Z\-])", r"\1–\2", "-")), risky=True, need="-(?<=[§d§]-)[§d§]"),
+    Rule("minus_sign", _only(Sub(r"-(?<=[§s§(=:,]-)(?=[§d§])", "−", "-"), Sub(r"-(?<![\s\S]-)(?=[§d§])", "−", "-"), Sub(r"([§d§]) - ([§d§])", r"\1 − \2", " - ")), risky=True, need="-(?: ?[§d§])"),
+    Rule("multiplication_sign", _only(Sub(r"([§d§])[§s§]?[xX][§s§]?([§d§])", rf"\1{THIN}×{THIN}\2")), risky=True, need="[xX][§s§]?[§d§]"),
     Rule("double_space", _only(Sub(r"([.!?;:,])  +", r"\1 ", "  "))),
     Rule("number_unit_spacing", _units),
-    Rule("nested_parentheticals", column=_nested_column, python=_nested_python),
-    Rule("nbsp_between_initials", _only(Sub(r"([A-Z]\.)(?=[A-Z]\.)", rf"\1{NBSP}")), python=_initials_python),
+    Rule("nested_parentheticals", column=_nested_column, python=_nested_python, need=r"\("),
+    Rule("nbsp_between_initials", _only(Sub(r"([A-Z]\.)(?=[A-Z]\.)", rf"\1{NBSP}")), python=_initials_python, need=r"\.[A-Z]\."),
     Rule("french_high_punctuation", _high, ("fr-FR",)),
     Rule("abbreviations_pt", lambda lang: _add_period("Sr Sra Dr Dra Prof Eng"), _PT),
     Rule("ordinals", _ordinals, (*_PT, *_ES), True),
@@ -312,9 +356,9 @@ RULES: tuple[Rule, ...] = (
     Rule("german_din5008_spacing", _din, ("de-DE",)),
     Rule("ligature_suppression", lambda lang: _words({w.replace("|", ""): w.replace("|", ZWNJ) for w in dims.NO_LIGATURE[lang]}), ("de-DE", *_EN)),
     Rule("nbsp_after_title", _titles),
-    Rule("nbsp_page_abbrev", _only(Sub(rf"({'|'.join(re.escape(p) for p in dims.PAGES)}) ([§d§])", rf"\1{NBSP}\2"))),
+    Rule("nbsp_page_abbrev", _only(Sub(rf"({'|'.join(re.escape(p) for p in dims.PAGES)}) ([§d§])", rf"\1{NBSP}\2")), need="[.§] [§d§]"),
     Rule("single_letter_nbsp", _singles, tuple(dims.SINGLE_LETTERS), True),
-    Rule("breakable_containers", _only(Sub(rf"(?<=[A-Z]\.{NBSP}[A-Z]\.){NBSP}(?=[A-Z]\.{NBSP}[A-Za-zÀ-ɏ])", " ", NBSP)), python=_containers_python),
+    Rule("breakable_containers", _only(Sub(rf"(?<=[A-Z]\.{NBSP}[A-Z]\.){NBSP}(?=[A-Z]\.{NBSP}[A-Za-zÀ-ɏ])", " ", NBSP)), python=_containers_python, need=NBSP),
     Rule("abbreviation_haplology", _only(Sub(r"(§w§\.)\.(?=[§s§]|§end§)", r"\1", ".."))),
 )
 BY_NAME = {r.name: r for r in RULES}
@@ -327,12 +371,23 @@ def apply(name: str, c: Column, lang: str) -> Column:
     return BY_NAME[name].apply(c, lang)
 
 
+@cache
+def of_language(lang: str, strict: bool = False) -> tuple[Rule, ...]:
+    return tuple(r for r in RULES if r.holds(lang, strict))
+
+
 def run_all(text: str, lang: str, strict: bool = False) -> tuple[str, list[Edit]]:
     """A masked text after all rules of a language, with the log."""
     log: list[Edit] = []
-    for rule in RULES:
-        if rule.holds(lang, strict):
-            own: list[Edit] = []
-            text = rule.run(text, lang, own)
-            log += [(p, a, b, LOGGED_AS.get(r, r)) for p, a, b, r in own]
+    for rule in of_language(lang, strict):
+        own: list[Edit] = []
+        text = rule.run(text, lang, own)
+        log += [(p, a, b, LOGGED_AS.get(r, r)) for p, a, b, r in own]
     return text, log
+
+
+def run_quietly(text: str, lang: str, strict: bool = False) -> str:
+    """The same without a log."""
+    for rule in of_language(lang, strict):
+        text = rule.run(text, lang, None)
+    return text

@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def noised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat(F.replace("text", F.lit(", "), F.lit(" - ")), F.lit(TAIL)).alias("text"))
+    return lint.spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.concat(F.replace("text", F.lit(", "), F.lit(" - ")), F.lit(TAIL)).alias("text"))
 
 
 LANGS = list(dims.LOCALES.values())
@@ -67,7 +67,7 @@ def lint_stats_by_lang_rule(spark, sf_dir):
 
 @query()
 def change_rate_by_source(spark, sf_dir):
-    done = lint.lint_text(table(spark, sf_dir, "documents"), langs=LANGS)
+    done = lint.lint_text(lint.spread(table(spark, sf_dir, "documents")), langs=LANGS)
     return done.groupBy("source").agg(F.count("*").alias("docs"), F.sum((F.col("corrected") != F.col("text")).cast("long")).alias("changed"))
 
 

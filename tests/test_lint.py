@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from dataclasses import replace
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphmill.functions import dims, rules
+from glyphmill.functions import dims, masking, rules
 from glyphmill.operators import attribution, evaluation
 from glyphmill.plans import lint
 
@@ -35,9 +40,48 @@ def test_columns_and_python_agree(spark):
     texts = [t for _, t, _ in CASES] + extra
     df = spark.createDataFrame([(t, lang) for t in texts for lang in dims.LANGUAGES] + [(None, "en-US"), ("x", "xx"), ("x", None)], "text string, lang string")
     for strict in (False, True):
-        for r in lint.lint_text(df, strict=strict).collect():
-            want = None if r.text is None or r.lang not in dims.LANGUAGES else lint.lint_row(r.text, r.lang, strict)[0]
-            assert r.corrected == want, (r.text, r.lang)
+        for form in (lint.lint_text, lint.lint_columns):
+            for r in form(df, strict=strict).collect():
+                want = None if r.text is None or r.lang not in dims.LANGUAGES else lint.lint_row(r.text, r.lang, strict)[0]
+                assert r.corrected == want, (form.__name__, r.text, r.lang)
+
+
+PIECES = ["a", "Z", "7", "ab", "Cd", " ", "  ", "\n", "\u00a0", ".", ",", "-", "_", "/", "\\", "@", "#", "`", "```", "<", ">", "</", "code", "b", ":", "://", "http", "https", "ftp", "v1", ".2", "C:\\", "é", "(", ")", "'", '"', "i"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=24))
+def test_regions_as_by_search_at_every_character(pieces):
+    text = "".join(pieces)
+    for kind, pattern in masking.PATTERNS.items():
+        assert [m.span() for m in masking._found(kind, text)] == [m.span() for m in pattern.finditer(text)], (kind, text)
+    covered, taken = masking.mask(text)
+    assert masking.unmask(covered, taken) == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "1/2", "...", " - ", "3-4", "5'", "10kg", "Mr", "oe", "c)", "x", "p. 3", "J.R."]), max_size=24), st.sampled_from(dims.LANGUAGES))
+def test_log_or_not_and_tests_first(pieces, lang):
+    """The same text with and without a log, and with every rule's patterns run whether their signs are there or not."""
+    text = "".join(pieces)
+    new, log = rules.run_all(text, lang)
+    assert rules.run_quietly(text, lang) == new and bool(log) >= (new != text)
+    for rule in rules.of_language(lang):
+        if rule.subs and not rule.python:
+            plain = text
+            for s in rule.subs(lang):
+                plain = replace(s, guard=None).run(plain, rule.name, None)
+            assert plain == rule.run(text, lang, None), rule.name
+            text = plain
+
+
+def test_long_texts_take_time_in_proportion():
+    """A fold that copies the text at each mark would take minutes."""
+    text = "'a (b) \"c\" `d` " * 60_000
+    began = time.time()
+    for lang in ("en-GB", "en-US"):
+        lint.lint_row(text, lang)
+    assert time.time() - began < 60
 
 
 @pytest.mark.parametrize("lang", dims.LANGUAGES)
@@ -72,7 +116,7 @@ def test_rollup_of_a_full_score(spark):
     """Mean similarity and regressions by language and rule, and of two runs."""
     rows = [(1, "en", "r", "a b c", "a b d", "a b d"), (2, "en", "r", "a b c", "a b d", "zzzzz"), (3, "de", "q", "xy", "xz", "xy")]
     schema = "case_id long, language string, rule string, input string, expected string, predicted string"
-    scored = evaluation.score(spark.createDataFrame(rows, schema)).localCheckpoint()
+    scored = evaluation.score(spark.createDataFrame(rows, schema))
     each = {r.case_id: r for r in scored.collect()}
     got = {(r.grouping_name, r.grp): r for r in evaluation.rollup(scored).collect()}
     for key, ids in ((("language", "en"), (1, 2)), (("rule", "q"), (3,)), (("all", ""), (1, 2, 3))):
