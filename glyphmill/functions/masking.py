@@ -112,7 +112,7 @@ def masked(c: Column) -> Column:
 
 def regions(c: Column) -> Column:
     """array of struct(kind, start, end, original)."""
-    return F.arrow_udf(_spans_all, ArrayType(SPAN))(c)
+    return F.arrow_udf(_spans_all, ArrayType(SPAN)).asNondeterministic()(c)  # once, also where it is exploded
 
 
 def restored(text: Column, taken: Column) -> Column:

@@ -222,7 +222,7 @@ def _quotes_column(c: Column, lang: str) -> Column:
         mark = lambda x, i: F.when(i % 2 == 1, F.lit(opening + space)).otherwise(F.lit(space + closing))
         return F.when(F.contains(c, F.lit('"')), _joined(F.split(c, '"'), mark)).otherwise(c)
     # at each apostrophe: whether a letter or digit is before and after it; then a fold over these alone, which gives
-    # 0 as it is, 1 opening, 2 closing, and joins the pieces once
+    # a digit each, 0 as it is, 1 opening, 2 closing; the pieces are joined once
     word = r"[\p{L}\p{Nd}]"
     parts = F.split(c, "'")
     ends = F.transform(parts, lambda x: F.rlike(F.right(x, F.lit(1)), F.lit(word)))
@@ -231,14 +231,14 @@ def _quotes_column(c: Column, lang: str) -> Column:
 
     def step(s: Column, x: Column) -> Column:
         opens, closes = ~s.open & ~x["before"], s.open & ~x["after"]
-        mark = F.when(x["before"] & x["after"], 0).when(opens, 1).when(closes, 2).otherwise(0)
+        mark = F.when(x["before"] & x["after"], "0").when(opens, "1").when(closes, "2").otherwise("0")
         inside = F.when(x["before"] & x["after"], s.open).otherwise((s.open | opens) & ~closes)
-        return F.struct(F.concat(s.marks, F.array(mark)).alias("marks"), inside.alias("open"))
+        return F.struct(F.concat(s.marks, mark).alias("marks"), inside.alias("open"))
 
-    marks = F.aggregate(sides, F.struct(F.array().cast("array<int>").alias("marks"), F.lit(False).alias("open")), step)["marks"]
-    both = F.arrays_zip(parts.alias("part"), F.concat(F.array(F.lit(-1)), marks).alias("mark"))
-    new = lambda m: F.when(m == 1, F.lit(opening)).when(m == 2, F.lit(closing)).otherwise(F.lit("'"))
-    done = F.array_join(F.transform(both, lambda x: F.when(x["mark"] < 0, x["part"]).otherwise(F.concat(new(x["mark"]), x["part"]))), "")
+    marks = F.aggregate(sides, F.struct(F.lit("-").alias("marks"), F.lit(False).alias("open")), step)["marks"]
+    both = F.arrays_zip(parts.alias("part"), F.split(marks, "").alias("mark"))
+    new = lambda m: F.when(m == "1", F.lit(opening)).when(m == "2", F.lit(closing)).otherwise(F.lit("'"))
+    done = F.array_join(F.transform(both, lambda x: F.when(x["mark"] == "-", x["part"]).otherwise(F.concat(new(x["mark"]), x["part"]))), "")
     return F.when(F.contains(c, F.lit("'")), done).otherwise(c)
 
 
@@ -276,11 +276,11 @@ def _nested_column(c: Column, lang: str) -> Column:
     def step(s: Column, x: Column) -> Column:
         opens = x == "("
         mark = F.when(opens, F.when(s.depth >= 1, F.lit("[")).otherwise(F.lit("("))).otherwise(F.when(s.depth > 1, F.lit("]")).otherwise(F.lit(")")))
-        return F.struct(F.concat(s.marks, F.array(mark)).alias("marks"), F.when(opens, s.depth + 1).otherwise(F.greatest(F.lit(0), s.depth - 1)).alias("depth"))
+        return F.struct(F.concat(s.marks, mark).alias("marks"), F.when(opens, s.depth + 1).otherwise(F.greatest(F.lit(0), s.depth - 1)).alias("depth"))
 
-    new = F.aggregate(marks, F.struct(F.array().cast("array<string>").alias("marks"), F.lit(0).alias("depth")), step)["marks"]
-    both = F.arrays_zip(F.split(c, "[()]").alias("part"), F.concat(F.array(F.lit("")), new).alias("mark"))
-    done = F.array_join(F.transform(both, lambda x: F.concat(x["mark"], x["part"])), "")
+    new = F.aggregate(marks, F.struct(F.lit("-").alias("marks"), F.lit(0).alias("depth")), step)["marks"]
+    both = F.arrays_zip(F.split(c, "[()]").alias("part"), F.split(new, "").alias("mark"))
+    done = F.array_join(F.transform(both, lambda x: F.when(x["mark"] == "-", x["part"]).otherwise(F.concat(x["mark"], x["part"]))), "")
     return F.when(F.contains(c, F.lit("(")), done).otherwise(c)
 
 

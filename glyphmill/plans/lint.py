@@ -112,7 +112,8 @@ def lint_log(df: DataFrame, text: str = "text", lang: str = "lang", strict: bool
         kind = pa.struct([("text", pa.string()), ("corrections", pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("original", "replacement", "rule", "description"))])))])
         return pa.array(rows, kind)
 
-    return df.withColumn(out, F.arrow_udf(run, RESULT)(F.col(text), languages(F.col(lang))))
+    # else a filter on the number of corrections, which explode implies, would run it a second time
+    return df.withColumn(out, F.arrow_udf(run, RESULT).asNondeterministic()(F.col(text), languages(F.col(lang))))
 
 
 def stats(logged: DataFrame, by: list[str], out: str = "lint") -> DataFrame:
