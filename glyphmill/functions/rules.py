@@ -376,18 +376,23 @@ def of_language(lang: str, strict: bool = False) -> tuple[Rule, ...]:
     return tuple(r for r in RULES if r.holds(lang, strict))
 
 
-def run_all(text: str, lang: str, strict: bool = False) -> tuple[str, list[Edit]]:
-    """A masked text after all rules of a language, with the log."""
+def run_all(text: str, lang: str, strict: bool = False, before: tuple[Rule, ...] = (), after: tuple[Rule, ...] = ()) -> tuple[str, list[Edit]]:
+    """A masked text after all rules of a language, and others before and after them, with the log."""
     log: list[Edit] = []
-    for rule in of_language(lang, strict):
+    for rule in _chain(lang, strict, before, after):
         own: list[Edit] = []
         text = rule.run(text, lang, own)
         log += [(p, a, b, LOGGED_AS.get(r, r)) for p, a, b, r in own]
     return text, log
 
 
-def run_quietly(text: str, lang: str, strict: bool = False) -> str:
+def run_quietly(text: str, lang: str, strict: bool = False, before: tuple[Rule, ...] = (), after: tuple[Rule, ...] = ()) -> str:
     """The same without a log."""
-    for rule in of_language(lang, strict):
+    for rule in _chain(lang, strict, before, after):
         text = rule.run(text, lang, None)
     return text
+
+
+@cache
+def _chain(lang: str, strict: bool, before: tuple[Rule, ...], after: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    return (*(r for r in before if r.holds(lang, strict)), *of_language(lang, strict), *(r for r in after if r.holds(lang, strict)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from glyphmill.functions import dims, masking, rules
+from glyphmill.functions import extensions as ext
 
 CORRECTION = StructType([StructField("position", IntegerType()), *(StructField(n, StringType()) for n in ("original", "replacement", "rule", "description"))])
 RESULT = StructType([StructField("text", StringType()), StructField("corrections", ArrayType(CORRECTION))])
@@ -41,25 +42,33 @@ def _check(langs: list[str]) -> None:
         raise ValueError(f"unsupported languages: {sorted(unknown)}")
 
 
-def lint_text(df: DataFrame, text: str = "text", lang: str = "lang", strict: bool = False, langs: list[str] | None = None, out: str = "corrected") -> DataFrame:
+def lint_text(df: DataFrame, text: str = "text", lang: str = "lang", strict: bool = False, langs: list[str] | None = None, out: str = "corrected", extensions: tuple[str, ...] = ()) -> DataFrame:
     """df with the corrected text; null where the text is null or the language isn't supported, or not among ``langs``.
 
+    ``extensions``: names of corrections beyond the default chain.
+
     One Arrow function: masks and the rules' compiled patterns, each behind a cheap test of whether the
     text holds what it changes. ``lint_columns`` does the same without Python; it takes several times
     as long, as each of some 200 expressions reads the whole text.
     """
     held = frozenset(langs or dims.LANGUAGES)
     _check(sorted(held))
+    extra = _extra(extensions)
 
     def run(texts: pa.Array, own: pa.Array) -> pa.Array:
-        return pa.array([_quietly(x, y, strict) if x is not None and y in held else None for x, y in zip(texts.to_pylist(), own.to_pylist(), strict=True)], pa.string())
+        return pa.array([_quietly(x, y, strict, extra) if x is not None and y in held else None for x, y in zip(texts.to_pylist(), own.to_pylist(), strict=True)], pa.string())
 
     return df.withColumn(out, F.arrow_udf(run, StringType())(F.col(text), languages(F.col(lang))))
 
 
-def _quietly(text: str, lang: str, strict: bool) -> str:
+def _extra(names: tuple[str, ...]) -> tuple[tuple[rules.Rule, ...], tuple[rules.Rule, ...]]:
+    nested, after = ext.chosen(tuple(names))
+    return ((ext.NESTED,) if nested else ()), after
+
+
+def _quietly(text: str, lang: str, strict: bool, extra: tuple = ((), ())) -> str:
     covered, taken = masking.mask(text)
-    return masking.unmask(rules.run_quietly(covered, lang, strict), taken)
+    return masking.unmask(rules.run_quietly(covered, lang, strict, *extra), taken)
 
 
 def lint_columns(df: DataFrame, text: str = "text", lang: str = "lang", strict: bool = False, langs: list[str] | None = None, out: str = "corrected") -> DataFrame:
@@ -91,10 +100,10 @@ def lint_columns(df: DataFrame, text: str = "text", lang: str = "lang", strict:
     return df.withColumn(out, done).drop("__lang", "__m", "__t")
 
 
-def lint_row(text: str, lang: str, strict: bool = False) -> tuple[str, list[rules.Edit]]:
+def lint_row(text: str, lang: str, strict: bool = False, extensions: tuple[str, ...] = ()) -> tuple[str, list[rules.Edit]]:
     _check([lang])
     covered, taken = masking.mask(text)
-    new, log = rules.run_all(covered, lang, strict)
+    new, log = rules.run_all(covered, lang, strict, *_extra(extensions))
     return masking.unmask(new, taken), log
 
 
