@@ -86,7 +86,8 @@ SPANISH = {w: new for w, new in (p.split("=") for p in "increible=increíble dif
 
 def _inverted(lang: str) -> list[Sub]:
     """Whole sentences only; a clause that begins inside one isn't found."""
-    sentence = lambda mark, first: Sub(rf"((?<![\s\S])|[.!?…][§s§]+|\n)(§w§[^.!?…¿¡\n]*)\{mark}", rf"\1{first}\2{mark}", mark)
+    begins = r"(?:(?<![\s\S])|(?<=[.!?…][§s§])|(?<=\n))"
+    sentence = lambda mark, first: Sub(rf"{begins}(§w§[^.!?…¿¡\n]*)\{mark}", rf"{first}\1{mark}", mark)
     opened = [Sub(rf"{first}{a}(?!§w§)", f"{first}{b}", first + a) for first in "¿¡" for a, b in _ASKED.items()]
     return [sentence("?", "¿"), sentence("!", "¡"), *opened, *_words(SPANISH)]
 

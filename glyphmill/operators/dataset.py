@@ -109,9 +109,11 @@ def issues(records: DataFrame) -> DataFrame:
 
 
 def duplicates(records: DataFrame) -> DataFrame:
-    """(lineno, first_lineno) of each record that repeats an earlier one."""
-    same = Window.partitionBy("instruction", "input", "output")
-    return records.withColumn("first_lineno", F.min("lineno").over(same)).filter("lineno > first_lineno").select("lineno", "first_lineno")
+    """(lineno, first_lineno) of each record that repeats an earlier one; records are compared by 128 bits of hash, so that texts aren't shuffled."""
+    fields = [F.struct(F.col(c).isNull(), F.col(c)) for c in ("instruction", "input", "output")]
+    hashed = records.select("lineno", F.xxhash64(*fields).alias("h"), F.xxhash64(F.lit(1), *fields).alias("h2"))
+    first = hashed.groupBy("h", "h2").agg(F.min("lineno").alias("first_lineno"), F.count("*").alias("n")).filter("n > 1")
+    return hashed.join(first, ["h", "h2"]).filter("lineno > first_lineno").select("lineno", "first_lineno")
 
 
 def top(records: DataFrame, column: str, k: int) -> DataFrame:
@@ -126,6 +128,31 @@ def languages(records: DataFrame) -> DataFrame:
     return records.select(F.explode(both).alias("language")).filter("language is not null").groupBy("language").agg(F.count("*").alias("n"))
 
 
+def verdict(records: DataFrame) -> DataFrame:
+    """(records, issues, repeats, instructions, clean): a set is clean without an issue or a repeated record, and with more than one instruction."""
+    n = records.agg(F.count("*").alias("records"), F.count_distinct("instruction").alias("instructions"))
+    found = issues(records).agg(F.count("*").alias("issues")).crossJoin(duplicates(records).agg(F.count("*").alias("repeats")))
+    # each side is one row
+    return n.crossJoin(found).select("records", "issues", "repeats", "instructions", ((F.col("issues") == 0) & (F.col("repeats") == 0) & (F.col("instructions") > 1)).alias("clean"))
+
+
+def shown_language(metadata: Column) -> Column:
+    """The target's language of a cross-language pair, else the pair's."""
+    return F.coalesce(F.when(metadata["type"] == "cross_language", metadata["target_language"]).otherwise(metadata["language"]), F.lit("_universal"))
+
+
+def shown_rule(metadata: Column) -> Column:
+    return F.when(metadata["type"] == "cross_language", F.lit("cross_language")).otherwise(F.coalesce(metadata["rule"], F.lit("unknown")))
+
+
+def shown_order(records: DataFrame) -> DataFrame:
+    """records with lang, rule and type, in the order of a page of pairs: by language in a fixed order, unknown ones last, rule and type."""
+    m = F.col("metadata")
+    own = records.withColumns({"lang": shown_language(m), "rule": shown_rule(m), "type": m["type"]})
+    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("lang"))
+    return own.orderBy(F.when(place == 0, 99).otherwise(place), "rule", "type")
+
+
 # lengths
 
 
@@ -157,7 +184,7 @@ def length_stats(lengths: DataFrame, column: str) -> DataFrame:
 def recommended(p99: Column) -> Column:
     """The least power of two at or above 1.1 x p99."""
     want = F.floor(p99 * F.lit(1.1))
-    return F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.shiftleft(F.lit(1).cast("long"), i)), lambda x: x >= want), 1)
+    return F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.pow(F.lit(2), i).cast("long")), lambda x: x >= want), 1)
 
 
 def buckets(lengths: DataFrame, column: str) -> DataFrame:
@@ -185,13 +212,22 @@ def sample_key(seed: int = 42) -> Column:
     return F.xxhash64(F.lit(seed), "id")
 
 
-def split(records: DataFrame, key: Column, ratio: float = 0.1) -> DataFrame:
-    """records (language, rule, ..) with split: of a group of under 3 the first is for validation, else max(1, round(ratio n)); the order is that of key."""
-    group = Window.partitionBy(F.coalesce("language", F.lit("_unknown")), F.coalesce("rule", F.lit("_unknown")))
-    n = F.count("*").over(group)
-    rank = F.row_number().over(group.orderBy(key))
-    valid = F.when(n < 3, F.lit(1)).otherwise(F.greatest(F.lit(1), F.bround(n * F.lit(ratio)).cast("int")))
-    return records.withColumns({"__n": valid, "__r": rank}).withColumn("split", F.when(F.col("__r") <= F.col("__n"), "valid").otherwise("train")).drop("__n", "__r")
+def split(records: DataFrame, key: Column, tie: Column, ratio: float = 0.1) -> DataFrame:
+    """records (language, rule, ..) with split: of a group of under 3 the first is for validation, else max(1, round(ratio n)); the order is that of key, a number under 2^32, then of tie.
+
+    Groups are few and large: each is cut to ranges of its keys, whose counts tell how many of a range are for validation, so that no task orders a whole group.
+    """
+    names = {"__l": F.coalesce("language", F.lit("_unknown")), "__u": F.coalesce("rule", F.lit("_unknown")), "__b": F.shiftright(key.cast("long"), 20), "__k": key, "__t": tie}
+    cut = records.withColumns(names)
+    group = Window.partitionBy("__l", "__u")
+    sizes = cut.groupBy("__l", "__u", "__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"__before": before, "__all": F.sum("__n").over(group)})
+    valid = F.when(F.col("__all") < 3, F.lit(1)).otherwise(F.greatest(F.lit(1), F.bround(F.col("__all") * F.lit(ratio)).cast("int")))
+    sizes = sizes.select("__l", "__u", "__b", (valid - F.col("__before")).alias("__q"))
+    rank = F.row_number().over(Window.partitionBy("__l", "__u", "__b").orderBy("__k", "__t"))
+    done = cut.join(sizes, ["__l", "__u", "__b"]).withColumn("__r", rank)
+    return done.withColumn("split", F.when(F.col("__r") <= F.col("__q"), "valid").otherwise("train")).drop(*names, "__q", "__r")
 
 
 def stratified(records: DataFrame, key: Column) -> DataFrame:

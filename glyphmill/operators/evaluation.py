@@ -16,6 +16,9 @@ _NOTHING = "no change|no correction|no changes|no corrections needed|keine Ände
 _NOTE = "|".join("Hinweis Nota Notă Note Observação Observación Opmerking Remarque".split())
 
 
+MISSING = "[ERROR: no prediction]"
+
+
 def stripped(c: Column) -> Column:
     """Without white space at both ends, as Unicode has it."""
     return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+\z", "")
@@ -63,8 +66,8 @@ def alpaca(task: Column, text: Column) -> Column:
 
 
 def score(cases: DataFrame, cleaned: bool = True, batches: dict[str, int] | None = None, with_similarity: bool = True) -> DataFrame:
-    """cases (case_id, language, rule, input, expected, predicted) with exact_match, similarity_score, regression and batch (-1: none)."""
-    p = F.coalesce("predicted", F.lit(""))
+    """cases (case_id, language, rule, input, expected, predicted) with exact_match, similarity_score, regression and batch (-1: none); a missing prediction is an error's text."""
+    p = F.coalesce("predicted", F.lit(MISSING))
     df = cases.withColumn("predicted", clean_prediction(p) if cleaned else p)
     df = df.withColumns({"__p": stripped(F.col("predicted")), "__e": stripped(F.col("expected"))}).withColumn("exact_match", F.col("__p") == F.col("__e"))
     number = F.create_map(*[F.lit(x) for pair in (batches or {"": -1}).items() for x in pair])
@@ -75,16 +78,36 @@ def score(cases: DataFrame, cleaned: bool = True, batches: dict[str, int] | None
     return df.drop("__p", "__e")
 
 
+def _figures(scored: DataFrame) -> list[Column]:
+    """Cases, exact matches, and of a full score mean similarity and regressions."""
+    more = [F.avg("similarity_score").alias("mean_similarity"), F.sum(F.col("regression").cast("long")).alias("regressions")] if "similarity_score" in scored.columns else []
+    return [F.count("*").alias("n"), F.sum(F.col("exact_match").cast("long")).alias("exact"), *more]
+
+
 def rollup(scored: DataFrame) -> DataFrame:
     """Counts and exact matches in all, by language, by rule and by batch, in one pass; of a full score the mean similarity and the regressions too."""
-    more = ", avg(similarity_score) AS mean_similarity, sum(cast(regression AS bigint)) AS regressions" if "similarity_score" in scored.columns else ""
-    sets = "GROUPING SETS ((language), (rule), (batch), ())"
-    scored.createOrReplaceTempView("__scored")
-    return scored.sparkSession.sql(
-        f"""SELECT CASE grouping_id(language, rule, batch) WHEN 3 THEN 'language' WHEN 5 THEN 'rule' WHEN 6 THEN 'batch' ELSE 'all' END AS grouping_name,
-        coalesce(language, rule, cast(batch AS string), '') AS grp, count(*) AS n, sum(cast(exact_match AS bigint)) AS exact{more}
-        FROM __scored GROUP BY language, rule, batch {sets}"""
-    )
+    sets = scored.groupingSets([["language"], ["rule"], ["batch"], []], "language", "rule", "batch")
+    names = F.create_map(*[F.lit(x) for pair in ((3, "language"), (5, "rule"), (6, "batch"), (7, "all")) for x in pair])
+    done = sets.agg(F.grouping_id().cast("int").alias("__g"), *_figures(scored))
+    group = F.coalesce("language", "rule", F.col("batch").cast("string"), F.lit("")).alias("grp")
+    return done.select(names[F.col("__g")].alias("grouping_name"), group, *[c for c in done.columns if c not in ("language", "rule", "batch", "__g")])
+
+
+def failures(scored: DataFrame) -> DataFrame:
+    """The cases that aren't met, with all that is known of them."""
+    return scored.filter(~F.col("exact_match"))
+
+
+def overall(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(metric, a, b, delta) of two runs: exact matches and their percentage; of full scores mean similarity and regressions."""
+    each = [x.agg(*_figures(x)) for x in (a, b)]
+    rows = []
+    for x in each:
+        kinds = [("exact", F.col("exact").cast("double")), ("exact_pct", F.round(100 * F.col("exact") / F.col("n"), 1))]
+        kinds += [("mean_similarity", F.round("mean_similarity", 4)), ("regressions", F.col("regressions").cast("double"))] if "regressions" in x.columns else []
+        rows.append(x.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in kinds])).alias("r")).select("r.*"))
+    both = rows[0].withColumnRenamed("v", "a").join(rows[1].withColumnRenamed("v", "b"), "metric")
+    return both.select("metric", "a", "b", F.round(F.col("b") - F.col("a"), 4).alias("delta"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

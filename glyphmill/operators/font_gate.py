@@ -17,6 +17,11 @@ from glyphmill.functions import fonts
 WEIGHTS = {1: 4, 2: 3, 3: 2, 4: 1}
 
 
+def _class(points: Iterable[int]) -> str:
+    """A pattern for one of these characters."""
+    return "[" + "".join(f"\\x{{{cp:x}}}" for cp in points) + "]"
+
+
 class Gate:
     def __init__(self, supported: Iterable[int] | None = None):
         self.mode = "conservative" if supported is None else "explicit"
@@ -61,8 +66,10 @@ class Gate:
     def log(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
         """(id, position, output_position, original, replacement, reason, warning) of each unsupported tracked character."""
         dim = F.broadcast(self.dimension(df.sparkSession).filter("not supported"))
-        pattern = "[" + "".join(f"\\x{{{cp:x}}}" for cp in self.missing) + "]"
-        chars = df.filter(F.col(text).rlike(pattern)).select(id_col, F.posexplode(F.split(text, "")).alias("position", "ch"))
+        # only the characters that are missing leave the row
+        held = F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("position"), c.alias("ch")))
+        hits = F.filter(held, lambda x: x["ch"].rlike(_class(self.missing)))
+        chars = df.filter(F.col(text).rlike(_class(self.missing))).select(id_col, F.explode(hits).alias("hit")).select(id_col, "hit.*")
         found = chars.join(dim, "ch")
         new = F.when(F.col("dropped"), F.lit("")).otherwise(F.coalesce("replacement", "ch"))
         before = Window.partitionBy(id_col).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,9 +81,12 @@ class Gate:
 
     def report(self, df: DataFrame, by: list[str], text: str) -> DataFrame:
         """Tracked characters by group: tier, whether supported, occurrences and first place."""
-        chars = df.select(*by, F.posexplode(F.split(text, "")).alias("position", "ch"))
-        # counted before the join, so that it meets distinct characters only
-        counts = chars.groupBy(*by, "ch").agg(F.count("*").alias("occurrences"), F.min("position").alias("first_position"))
+        # only tracked characters leave the row, one for each kind in a text
+        tracked = sorted(set().union(*fonts.TIERS.values()) | fonts.CHAINS.keys())
+        held = F.regexp_extract_all(text, F.lit(_class(tracked)), F.lit(0))
+        kinds = F.transform(F.array_distinct(held), lambda c: F.struct(c.alias("ch"), F.size(F.filter(held, lambda x: x == c)).alias("n"), (F.instr(F.col(text), c) - 1).alias("at")))
+        chars = df.filter(F.col(text).rlike(_class(tracked))).select(*by, F.explode(kinds).alias("k")).select(*by, "k.*")
+        counts = chars.groupBy(*by, "ch").agg(F.sum("n").alias("occurrences"), F.min("at").alias("first_position"))
         return counts.join(F.broadcast(self.dimension(df.sparkSession)), "ch").select(*by, "ch", "cp", "name", "tier", "supported", "replacement", "occurrences", "first_position")
 
     def coverage(self, spark: SparkSession) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.plans import rule_queries, text_queries
+from glyphmill.plans import data_queries, extension_queries, rule_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query.run for name, query in rule_queries.QUERIES.items()} | text_queries.QUERIES
-ORACLE: dict[str, str] = {name: sql for name, query in rule_queries.QUERIES.items() if (sql := query.oracle())} | text_queries.ORACLE
+_RULES = rule_queries.QUERIES | extension_queries.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query.run for name, query in _RULES.items()} | text_queries.QUERIES | data_queries.QUERIES
+ORACLE: dict[str, str] = {name: sql for name, query in _RULES.items() if (sql := query.oracle())} | text_queries.ORACLE | data_queries.ORACLE

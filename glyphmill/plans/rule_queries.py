@@ -14,9 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions import dims, regex, rules
+from glyphmill.functions import dims, extensions, regex, rules
 from glyphmill.functions.dims import BOM, NBSP, NNBSP, THIN, ZWNJ, ZWSP
 
+ANY = rules.BY_NAME | extensions.BY_NAME
 NW = r"[^\p{L}\p{N}_]"
 CAP = r"[A-ZÀ-ɏ]"
 WS = r"[\s ]"
@@ -86,7 +87,7 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", self.noised().alias("x"))
-        rule = rules.BY_NAME[self.rule]
+        rule = ANY[self.rule]
         if self.n is None or rule.column:
             done = docs.select("doc_id", rule.apply(F.col("x"), self.lang).alias("corrected"), "x")
             return done.select("doc_id", "corrected", (F.col("corrected") != F.col("x")).alias("changed"))
@@ -97,7 +98,7 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        counted = f"({self.n})::BIGINT AS n" if self.n and not rules.BY_NAME[self.rule].column else "y <> x AS changed"
+        counted = f"({self.n})::BIGINT AS n" if self.n and not ANY[self.rule].column else "y <> x AS changed"
         if self.sql is nested_sql:
             return nested_sql(self.noised_sql())
         return f"SELECT doc_id, y AS corrected, {counted} FROM (SELECT doc_id, x, {self.sql('x')} AS y FROM (SELECT doc_id, {self.noised_sql()} AS x FROM documents))"

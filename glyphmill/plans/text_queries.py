@@ -274,7 +274,7 @@ SELECT id, CASE WHEN r <= CASE WHEN n < 3 THEN 1 ELSE greatest(1, round_even(n *
 )
 def split_train_valid(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("source").alias("rule"))
-    return dataset.split(rows, F.struct(arithmetic_key(), F.col("id"))).select("id", "split")
+    return dataset.split(rows, arithmetic_key(), F.col("id")).select("id", "split")
 
 
 def _templates(spark, sf_dir) -> DataFrame:

@@ -54,6 +54,20 @@ def saved_run(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.coalesce(label, F.input_file_name()).alias("label"), F.posexplode("cases").alias("case_id", "c")).select("label", "case_id", "c.*")
 
 
+def write_run(scored: DataFrame, path: str, label: str, timestamp: str) -> None:
+    """A full score as one JSON file, as saved_run reads it: label, time, total, exact matches, regressions, mean similarity, and the cases, which pass through one task line by line."""
+    totals = scored.agg(F.count("*").alias("total"), F.sum(F.col("exact_match").cast("long")).alias("exact_matches"), F.sum(F.col("regression").cast("long")).alias("regressions"), F.round(F.avg("similarity_score"), 4).alias("avg_similarity"))
+    head = F.to_json(F.struct(F.lit(label).alias("label"), F.lit(timestamp).alias("timestamp"), *[F.coalesce(c, F.lit(0)).alias(c) for c in totals.columns]))
+    first = totals.select(F.lit(0).alias("part"), F.lit(None).cast("string").alias("at"), F.concat(F.regexp_replace(head, r"\}\z", ""), F.lit(', "cases": [')).alias("value"))
+    order = F.lpad(F.col("case_id").cast("string"), 20, "0") if "case_id" in scored.columns else F.lit("")
+    each = scored.select(F.lit(1).alias("part"), order.alias("at"), F.concat(F.to_json(F.struct(*scored.columns)), F.lit(",")).alias("value"))
+    # an empty object after the last comma would be a case: the list ends with the case of the greatest number
+    last = each.agg(F.max("at")).first()[0]
+    each = each.withColumn("value", F.when(F.col("at") == F.lit(last), F.regexp_replace("value", r",\z", "")).otherwise(F.col("value")))
+    end = scored.sparkSession.createDataFrame([(2, None, "]}")], "part int, at string, value string")
+    first.unionByName(each).unionByName(end).repartitionByRange(1, "part").sortWithinPartitions("part", "at").select("value").write.text(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One object a line; characters other than ASCII as they are."""
     df.write.json(path)

@@ -37,6 +37,7 @@ CHANGES = [
     ("inverted_marks", "es-ES", "Hola. Donde vives? Bien.", "Hola. ¿Dónde vives? Bien."),
     ("inverted_marks", "es-ES", "Que increible!", "¡Qué increíble!"),
     ("inverted_marks", "es-ES", "¿Dónde vives?", None),
+    ("inverted_marks", "es-ES", "Donde? Como? Ya!", "¿Dónde? ¿Cómo? ¡Ya!"),
     ("italian_accents", "it-IT", "Perche' no? e' un caffe'.", "Perché no? è un caffè."),
     ("italian_accents", "it-IT", "l’opera lirica", None),
     ("capital_accents", "es-ES", "MEXICO DF", "MÉXICO DF"),

@@ -56,3 +56,17 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     assert q.awaitTermination(60)
     got = {r.id: r.corrected for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {i: f"He said “{i}”…" if i % 2 else f'He said "{i}"...' for i in range(6)}
+
+
+def test_run_as_one_file_and_back(spark, tmp_path):
+    from glyphmill.operators import evaluation
+
+    rows = [(i, "en", "r", "a b", "a c", "a c" if i % 2 else "a b") for i in range(12)]
+    scored = evaluation.score(spark.createDataFrame(rows, "case_id int, language string, rule string, input string, expected string, predicted string"))
+    files.write_run(scored, f"{tmp_path}/run", "mine", "2026-01-01T00:00:00Z")
+    whole = json.loads("".join(p.read_text() for p in (tmp_path / "run").glob("part-*")))
+    assert (whole["label"], whole["total"], whole["exact_matches"], whole["regressions"], len(whole["cases"])) == ("mine", 12, 6, 0, 12)
+    back = files.saved_run(spark, f"{tmp_path}/run").orderBy("case_id").collect()
+    assert [(r.label, r.exact_match) for r in back] == [("mine", bool(i % 2)) for i in range(12)]
+    files.write_run(scored.limit(0), f"{tmp_path}/none", "none", "t")
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "none").glob("part-*")))["cases"] == []
