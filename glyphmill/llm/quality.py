@@ -114,10 +114,13 @@ def _good(labels: DataFrame, id_col: str, fit_rows: int) -> DataFrame:
     return agreed.filter("q = 1").orderBy(F.xxhash64("__id"), "__id").limit(fit_rows).select("__id", F.lit(True).alias("good"))
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, int | None, str, str]:
-    """docs with __weight (x SCALE, null without a word) and __rank (its order with noise), and the least rank that stays (None: all with a word), and the two columns' names, which docs doesn't have."""
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, columns: list[str] | None = None) -> tuple[DataFrame, int | None, str, str]:
+    """docs, or those of its columns, with __weight (x SCALE, null without a word) and __rank (its order with noise), and the least rank that stays (None: all with a word), and the two columns' names, which docs doesn't have.
+
+    Texts are read twice: for the raw model's counts, and for the weights, which are written with the columns.
+    """
     good = _good(labels, id_col, fit_rows)  # bounded by fit_rows, therefore broadcast
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(good), "__id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    source = docs.select(cs.col(id_col).alias("__id"), cs.col(text).alias("text")).filter("text is not null").join(F.broadcast(good), "__id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = source.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in counts:
@@ -128,25 +131,24 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     prior = PRIOR * BUCKETS * mean
     ratio = np.log((target + prior) / (target.sum() + prior.sum()) / mean) if known else np.zeros(BUCKETS)
     table = np.rint(ratio * SCALE).astype(np.int64)
-    key = F.struct(F.col(id_col), F.col(text))
+    key = F.struct(cs.col(id_col), cs.col(text))
     log, rank = cs.free(docs, "__weight", "__rank")
-    weighed = docs.withColumn(log, weigher(table)(F.col(text)))
+    weighed = docs.filter(cs.col(text).isNotNull()).withColumn(log, weigher(table)(cs.col(text)))
     noisy = F.col(log) / F.lit(float(SCALE)) + gumbel(key)
     ranked = weighed.withColumn(rank, F.round(noisy * F.lit(float(1 << 32))).cast("long"))
+    kept = [cs.col(c) for c in columns or docs.columns]
+    ranks = Scratch(spark, "quality").put(ranked.filter(F.col(log).isNotNull()).select(*kept, log, rank))
     if not known:
-        return ranked, None, log, rank
-    scratch = Scratch(spark, "quality")
-    ranks = scratch.put(ranked.filter(F.col(log).isNotNull()).select(F.col(log).alias("weight"), F.col(rank).alias("rank")))
-    expected = ranks.agg(F.sum(F.least(F.lit(1.0), F.lit(float(share)) * F.exp(F.least(F.lit(50.0), F.col("weight") / F.lit(float(SCALE))))))).first()[0]
+        return ranks, None, log, rank
+    expected = ranks.agg(F.sum(F.least(F.lit(1.0), F.lit(float(share)) * F.exp(F.least(F.lit(50.0), F.col(log) / F.lit(float(SCALE))))))).first()[0]
     k = round(expected or 0)
-    least = kth_greatest(ranks, "rank", k) if k else (1 << 63) - 1
-    scratch.drop(ranks)
-    return ranked, least, log, rank
+    least = kth_greatest(ranks.select(F.col(rank).alias("rank")), "rank", k) if k else (1 << 63) - 1
+    return ranks, least, log, rank
 
 
-def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, weight: str | None = None) -> DataFrame:
-    """The selected rows of docs, with their weight in a column of that name if one is given."""
-    ranked, least, log, rank = scored(spark, docs, labels, id_col, text, fit_rows)
-    stays = F.col(log).isNotNull() if least is None else F.col(log).isNotNull() & (F.col(rank) >= F.lit(least))
+def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, weight: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The selected rows of docs, or those of its columns, with their weight in a column of that name if one is given."""
+    ranked, least, log, rank = scored(spark, docs, labels, id_col, text, fit_rows, columns)
+    stays = ranked if least is None else ranked.filter(F.col(rank) >= F.lit(least))
     extra = [F.round(F.col(log) / F.lit(float(SCALE)), 4).alias(weight)] if weight else []
-    return ranked.filter(stays).select(*cs.every(docs), *extra)
+    return stays.select(*[cs.col(c) for c in columns or docs.columns], *extra)

@@ -43,7 +43,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.resample(spark, docs, table(spark, sf_dir, "labels"), weight="log_weight").select("doc_id", "log_weight")
+    return quality.resample(spark, docs, table(spark, sf_dir, "labels"), weight="log_weight", columns=["doc_id"])
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
