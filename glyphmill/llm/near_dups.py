@@ -5,7 +5,7 @@ parity bitmap of ``BITS`` bits: value i flips one bit, so that the XOR of two bi
 ones as an odd sketch of the differing samples. Texts that agree on a band of ``ROWS`` values are
 candidates (0.984 of the pairs at Jaccard 0.5, 0.9998 at 0.6); the population count of the XOR
 estimates their similarity. A pair whose estimate lies ``ABOVE`` the threshold is near, one ``BELOW``
-it isn't; all between are decided by the Jaccard similarity of their shingles' 64-bit hashes. Near
+it isn't; all between are decided by the Jaccard similarity of their shingles' 32-bit hashes. Near
 pairs are joined to groups by connected components.
 
 A band that more than ``HOT`` texts share is cut by hash to chunks. Each is compared on its own, then
@@ -252,13 +252,14 @@ def _shingle_sets(slots: np.ndarray):
             batch = batch.filter(pa.array(taken))
             for rows, data, offsets in tv.chunks(iter([batch]), "text"):
                 grams, n = shingles(tv.words(data, offsets))
+                grams = (grams >> np.uint64(32)).astype(np.uint32)
                 text = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((grams, text))
                 grams, text = grams[order], text[order]
                 first = np.ones(len(grams), bool)
                 first[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
                 ends = np.cumsum(np.bincount(text[first], minlength=len(n)))
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in cs.KEY), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(tv.signed(grams[first])))], [*cs.KEY, "grams"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in cs.KEY), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(grams[first].view(np.int32)))], [*cs.KEY, "grams"])
 
     return run
 
@@ -270,7 +271,7 @@ def _exactly(scratch: Scratch, keyed: DataFrame, pairs: DataFrame, threshold: fl
     found = either.select(F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow()
     slots = np.zeros(SLOTS, bool)
     slots[found.column("slot").to_numpy()] = True
-    sets = scratch.put(keyed.mapInArrow(_shingle_sets(slots), "key long, key2 long, grams array<long>").dropDuplicates(cs.KEY))
+    sets = scratch.put(keyed.mapInArrow(_shingle_sets(slots), "key long, key2 long, grams array<int>").dropDuplicates(cs.KEY))
     left, right = (sets.select(F.col("key").alias(k), F.col("key2").alias(f"{k}2"), F.col("grams").alias(f"grams_{k}")) for k in ("a", "b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     near = both >= threshold * (F.size("grams_a") + F.size("grams_b") - both)
