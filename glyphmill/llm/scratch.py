@@ -11,14 +11,19 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a new one."""
+    """The folder in spark.checkpoint.dir; where that is unset a temporary one if all runs on one machine, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        where = _own.setdefault("folder", tempfile.mkdtemp(prefix="glyphmill-") if "folder" not in _own else "")
     return where.rstrip("/")
 
 
+_own: dict[str, str] = {}
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of a few megabytes, so that long texts don't fill the Python workers' memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -211,8 +211,7 @@ def merged(levels: list[tuple[int, DataFrame]], kind: int) -> DataFrame | None:
 
 def count_words(text: str) -> F.Column:
     """Number of maximal runs of bytes other than ASCII white space."""
-    blank = F.translate(F.col(text), "\t\n\r\x0b\x0c", "     ")
-    return F.size(F.filter(F.split(blank, " "), lambda x: x != "")).cast("int")
+    return F.regexp_count(cs.col(text), F.lit(r"[^\t\n\r\x0b\x0c ]++")).cast("int")
 
 
 def copies(docs: DataFrame, key: F.Column, id_col: str, text: str, min_words: int) -> DataFrame:
@@ -227,7 +226,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     key = cs.one_key(docs.filter(cs.col(text).isNotNull()), cs.col(text))
     levels = repeated_levels(spark, keyed(docs, key, text), scratch, min_words)
     spans = merged(levels, SPANS)
-    shared = copies(docs, key, id_col, text, min_words)
+    shared = scratch.put(copies(docs, key, id_col, text, min_words))
     level = F.lit(min_words) * F.pow(F.lit(2), F.floor(F.log2(F.col("n") / F.lit(min_words)) + F.lit(1e-9)))
     whole = shared.select("key", F.lit(0).alias("pos"), F.col("n").alias("to"), level.cast("int").alias("length"))
     if spans is not None:
