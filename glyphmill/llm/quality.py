@@ -83,7 +83,7 @@ def weigher(table: np.ndarray):
             at = to
         return pa.array(out, mask=~has)
 
-    return F.arrow_udf(weigh, LongType())
+    return F.arrow_udf(weigh, LongType()).asNondeterministic()  # once, also where it is filtered by: else each task holds two Python workers
 
 
 def gumbel(row: F.Column, seed: int = SEED) -> F.Column:

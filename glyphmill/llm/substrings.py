@@ -273,7 +273,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     joined = docs.withColumn(key, own).join(what.hint("merge"), key, "left")
     joined = joined.filter(cs.col(text).isNull() | F.col(keeper).isNull() | F.col(keeper)["keeper"].eqNullSafe(cs.col(id_col)))
     changes = F.col(spans_of).isNotNull() & cs.col(text).isNotNull()
-    joined = joined.withColumn(after, F.arrow_udf(_cut, StringType())(F.when(changes, cs.col(text)), F.when(changes, F.col(spans_of))))
+    # once, also where it is filtered by: else each task holds two Python workers
+    joined = joined.withColumn(after, F.arrow_udf(_cut, StringType()).asNondeterministic()(F.when(changes, cs.col(text)), F.when(changes, F.col(spans_of))))
     joined = joined.filter(~changes | (F.trim(F.translate(F.col(after), "\t\n\r\x0b\x0c", "     ")) != ""))
     new = {text: F.when(changes, F.col(after)).otherwise(cs.col(text))}
     if count and count in docs.columns:

@@ -50,6 +50,20 @@ def brute_weights(texts: dict, good: set) -> dict:
     return {i: sum(k * np.log(q[b] / p[b]) for b, k in c.items()) for i, c in per.items() if c}
 
 
+def test_texts_are_weighed_once(spark, monkeypatch):
+    """Each evaluation in a plan takes a Python worker of its own in every task, which stays in the executor's memory."""
+    texts, marks = corpus(40)
+    put, plans = quality.Scratch.put, []
+
+    def watched(self, df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, df, *more)
+
+    monkeypatch.setattr(quality.Scratch, "put", watched)
+    quality.scored(spark, tx.frame(spark, tx.rows(texts)), labels(spark, marks))
+    assert [p.count("ArrowEvalPython") for p in plans] == [1]
+
+
 def test_weights_and_top_k_against_brute_force(spark):
     texts, marks = corpus()
     df = tx.frame(spark, tx.rows(texts))

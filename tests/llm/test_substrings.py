@@ -96,6 +96,12 @@ def test_texts_without_repeats_stay_as_they_are(spark):
     assert sorted(map(tuple, substrings.remove_repeats(spark, tx.frame(spark, rows)).collect())) == sorted(rows)
 
 
+def test_texts_are_cut_once(spark):
+    """Each evaluation in a plan takes a Python worker of its own in every task, which stays in the executor's memory."""
+    cut = substrings.remove_repeats(spark, tx.frame(spark, tx.rows(shared())))
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_empty_table(spark):
     assert substrings.repeated_passages(spark, tx.frame(spark, [])).count() == 0
     assert substrings.remove_repeats(spark, tx.frame(spark, [])).count() == 0
