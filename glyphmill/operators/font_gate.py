@@ -6,13 +6,16 @@ depend on the mode alone, so they are resolved once, on the driver, over the few
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from glyphmill.functions import fonts
+from glyphmill.functions import arrow, fonts
 
 WEIGHTS = {1: 4, 2: 3, 3: 2, 4: 1}
 
@@ -81,11 +84,15 @@ class Gate:
 
     def report(self, df: DataFrame, by: list[str], text: str) -> DataFrame:
         """Tracked characters by group: tier, whether supported, occurrences and first place."""
-        # only tracked characters leave the row, one for each kind in a text
-        tracked = sorted(set().union(*fonts.TIERS.values()) | fonts.CHAINS.keys())
-        held = F.regexp_extract_all(text, F.lit(_class(tracked)), F.lit(0))
-        kinds = F.transform(F.array_distinct(held), lambda c: F.struct(c.alias("ch"), F.size(F.filter(held, lambda x: x == c)).alias("n"), (F.instr(F.col(text), c) - 1).alias("at")))
-        chars = df.filter(F.col(text).rlike(_class(tracked))).select(*by, F.explode(kinds).alias("k")).select(*by, "k.*")
+        # only tracked characters leave the row, one for each kind in a text, counted in one pass
+        tracked = frozenset(map(chr, set().union(*fonts.TIERS.values()) | fonts.CHAINS.keys()))
+
+        def kinds(x: str | None) -> list[dict] | None:
+            return None if x is None else [{"ch": c, "n": n, "at": x.index(c)} for c, n in Counter(x).items() if c in tracked]
+
+        kind = pa.list_(pa.struct([("ch", pa.string()), ("n", pa.int64()), ("at", pa.int32())]))
+        found = arrow.mapped(kinds, kind, ArrayType(StructType([StructField("ch", StringType()), StructField("n", LongType()), StructField("at", IntegerType())])), F.col(text))
+        chars = df.select(*by, F.explode(found).alias("k")).select(*by, "k.*")
         counts = chars.groupBy(*by, "ch").agg(F.sum("n").alias("occurrences"), F.min("at").alias("first_position"))
         return counts.join(F.broadcast(self.dimension(df.sparkSession)), "ch").select(*by, "ch", "cp", "name", "tier", "supported", "replacement", "occurrences", "first_position")
 
