@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions import dims, extensions, regex, rules
+from glyphmill.functions import dims, extensions, rules
 from glyphmill.functions.dims import BOM, NBSP, NNBSP, THIN, ZWNJ, ZWSP
 
 ANY = rules.BY_NAME | extensions.BY_NAME
@@ -88,12 +88,11 @@ class Query:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", self.noised().alias("x"))
         rule = ANY[self.rule]
+        done = docs.select("doc_id", "x", rules.linted(F.col("x"), rule, self.lang).alias("r"))
         if self.n is None or rule.column:
-            done = docs.select("doc_id", rule.apply(F.col("x"), self.lang).alias("corrected"), "x")
-            return done.select("doc_id", "corrected", (F.col("corrected") != F.col("x")).alias("changed"))
-        # no step makes or hides another's matches, so that all can be counted in the text as it was
-        pattern = "|".join(f"(?:{regex.java(s.pattern)})" for s in rule.subs(self.lang))
-        return docs.select("doc_id", rule.apply(F.col("x"), self.lang).alias("corrected"), F.regexp_count("x", F.lit(pattern)).cast("long").alias("n"))
+            return done.select("doc_id", "r.corrected", (F.col("r.corrected") != F.col("x")).alias("changed"))
+        # no step makes or hides another's matches, so that their numbers add up to those in the text as it was
+        return done.select("doc_id", "r.corrected", "r.n")
 
     def oracle(self) -> str | None:
         if self.sql is None:
