@@ -33,6 +33,7 @@ def folder(spark, tmp_path_factory) -> str:
 
 RULES = {
     "rule_french_high_punctuation": (3, "x\u202f! y\u202f; z", " a\u202f; b"),
+    "ext_widows": (5, "two three four\nfive", "15 sentence."),
 }
 
 
@@ -46,3 +47,17 @@ def test_rules_are_one_python_pass(spark, folder, name):
     doc, *parts = RULES[name]
     assert len(got) == 6 and got[0].corrected is None and got[0][2] is None
     assert all(p in got[doc].corrected for p in parts) and got[doc][2]
+
+
+@pytest.mark.parametrize("text", ["", "a b c d", "a b c d\n", "a b c d\n\ne f g h", "a  b c d", "a b c d ", "a b c d e", "a\tb c d e", "a b c d e", " b c d", "x a b c d\r\ne f g h", "a b c d e f\n g h"])
+def test_widows_by_line_ends(text):
+    rule, log, plain = extensions.BY_NAME["widows"], [], []
+    assert rule.run(text, "en-US", log) == rule.subs("en-US")[0].run(text, "widows", plain) and log == plain
+
+
+def test_widows_of_one_long_word():
+    """The pattern reads the word again from each of its characters."""
+    began = time.time()
+    assert extensions.BY_NAME["widows"].run("a" * 300_000 + " b c d", "en-US", None).endswith(" b c d")
+    assert extensions.BY_NAME["widows"].run("a" * 300_000, "en-US", None) == "a" * 300_000
+    assert time.time() - began < 5
