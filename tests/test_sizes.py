@@ -35,6 +35,7 @@ RULES = {
     "rule_french_high_punctuation": (3, "x\u202f! y\u202f; z", " a\u202f; b"),
     "ext_widows": (5, "two three four\nfive", "15 sentence."),
     "rule_french_ligatures": (1, " cœur Sœur Œuvre", "11oeuf"),
+    "rule_german_eszett": (1, " STRAẞE ", "11HEISS"),
 }
 
 
