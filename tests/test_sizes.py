@@ -36,6 +36,7 @@ RULES = {
     "ext_widows": (5, "two three four\nfive", "15 sentence."),
     "rule_french_ligatures": (1, " cœur Sœur Œuvre", "11oeuf"),
     "rule_german_eszett": (1, " STRAẞE ", "11HEISS"),
+    "rule_single_letter_nbsp_es": (1, " y vino o agua "),
 }
 
 
