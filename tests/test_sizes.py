@@ -37,6 +37,7 @@ RULES = {
     "rule_french_ligatures": (1, " cœur Sœur Œuvre", "11oeuf"),
     "rule_german_eszett": (1, " STRAẞE ", "11HEISS"),
     "rule_single_letter_nbsp_es": (1, " y vino o agua "),
+    "ext_italian_accents": (1, " perché ", "citta'x"),
 }
 
 
