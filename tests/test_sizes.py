@@ -38,6 +38,7 @@ RULES = {
     "rule_german_eszett": (1, " STRAẞE ", "11HEISS"),
     "rule_single_letter_nbsp_es": (1, " y vino o agua "),
     "ext_italian_accents": (1, " perché ", "citta'x"),
+    "ext_inverted_marks": (1, "¿Dónde?", "¡Qué increíble!"),
 }
 
 
