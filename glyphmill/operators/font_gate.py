@@ -91,7 +91,7 @@ class Gate:
             return None if x is None else [{"ch": c, "n": n, "at": x.index(c)} for c, n in Counter(x).items() if c in tracked]
 
         kind = pa.list_(pa.struct([("ch", pa.string()), ("n", pa.int64()), ("at", pa.int32())]))
-        found = arrow.mapped(kinds, kind, ArrayType(StructType([StructField("ch", StringType()), StructField("n", LongType()), StructField("at", IntegerType())])), F.col(text))
+        found = arrow.mapped(kinds, kind, ArrayType(StructType([StructField("ch", StringType()), StructField("n", LongType()), StructField("at", IntegerType())])), F.col(text), once=True)
         chars = df.select(*by, F.explode(found).alias("k")).select(*by, "k.*")
         counts = chars.groupBy(*by, "ch").agg(F.sum("n").alias("occurrences"), F.min("at").alias("first_position"))
         return counts.join(F.broadcast(self.dimension(df.sparkSession)), "ch").select(*by, "ch", "cp", "name", "tier", "supported", "replacement", "occurrences", "first_position")

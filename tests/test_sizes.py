@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
-from glyphmill.functions import extensions
+from glyphmill.functions import arrow, extensions
 from glyphmill.operators.font_gate import Gate
 from glyphmill.plans import queries
 
@@ -66,3 +68,28 @@ def test_widows_of_one_long_word():
     assert extensions.BY_NAME["widows"].run("a" * 300_000 + " b c d", "en-US", None).endswith(" b c d")
     assert extensions.BY_NAME["widows"].run("a" * 300_000, "en-US", None) == "a" * 300_000
     assert time.time() - began < 5
+
+
+def test_few_rows_are_python_objects_at_once():
+    texts = pa.array(["x" * 20_000] * 2_000)
+    run = arrow.in_slices(lambda x: [x[:1]] * 50, pa.list_(pa.string()))
+    tracemalloc.start()
+    got = run(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2_000 and got[1_999].as_py() == ["x"] * 50
+    assert peak < 10e6  # all at once: 40 MB of texts alone
+    assert run(texts.slice(0, 0)).to_pylist() == []
+
+
+BATCHES = [
+    "lint_strict",
+]
+
+
+@pytest.mark.parametrize("name", BATCHES)
+def test_batches_are_cut_by_bytes(spark, folder, name):
+    """10,000 long texts at once fill the workers' memory."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert queries.QUERIES[name](spark, folder).count() > 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(arrow.BATCH_BYTES)
