@@ -85,6 +85,7 @@ def test_few_rows_are_python_objects_at_once():
 BATCHES = [
     "lint_strict",
     "lint_log",
+    "lint_stats_by_lang_rule",
 ]
 
 
