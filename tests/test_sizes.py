@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import difflib
 import time
 import tracemalloc
 
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from glyphmill.functions import arrow, extensions
+from glyphmill.functions import arrow, diff, extensions
 from glyphmill.operators.font_gate import Gate
 from glyphmill.plans import queries
 
@@ -95,3 +98,27 @@ def test_batches_are_cut_by_bytes(spark, folder, name):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert queries.QUERIES[name](spark, folder).count() > 0
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(arrow.BATCH_BYTES)
+
+
+PARTS = ["a", "e", "e", "t", " ", " ", ", ", " - ", "—", "qu", "2020", "(c)", "©", "…", "x", "zz", "Å", "\U0001f600", "the end", "ab" * 20]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), min_size=60, max_size=300), st.lists(st.tuples(st.integers(0, 299), st.sampled_from(["", *PARTS])), max_size=30))
+def test_diff_as_the_library(parts, changed):
+    new = list(parts)
+    for at, x in changed:
+        new[at % len(new)] = x
+    a, b = "".join(parts), "".join(new)
+    for x, y in ((a, b), (b, a)):
+        mine, theirs = diff.matcher(x, y), difflib.SequenceMatcher(None, x, y)
+        assert mine.get_opcodes() == theirs.get_opcodes() and mine.ratio() == theirs.ratio()
+
+
+def test_diff_of_a_long_text():
+    """The library takes minutes: the square of the length, times the number of changes."""
+    words = "the quick brown fox jumps, over 10 lazy dogs. Zebras vex Jack, who may quit".split(" ")
+    old = " ".join(words[(i * i + i // 7) % len(words)] + chr(0x4E00 + i * i % 211) for i in range(20_000))
+    began = time.time()
+    steps = diff.matcher(old, old.replace("y", " – ").replace("quit", "QUIT")).get_opcodes()
+    assert time.time() - began < 10 and len(steps) > 1_000
