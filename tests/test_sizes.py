@@ -10,8 +10,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from glyphmill.functions import arrow, diff, extensions
+from glyphmill.operators import evaluation
 from glyphmill.operators.font_gate import Gate
 from glyphmill.plans import queries
 
@@ -33,6 +35,7 @@ def folder(spark, tmp_path_factory) -> str:
     at = tmp_path_factory.mktemp("tables")
     texts = [None, "", "a, b. c", "x ! y ; z", 'Il dit: "oui", no. 3 - (c)...', "one two three four\nfive six seven eight"]
     spark.createDataFrame([(i, t, ("en", "fr", "de", "es")[i % 4], "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(0, "http://a.example/b", "<p>"), (1, None, None)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     return str(at)
 
 
@@ -122,3 +125,12 @@ def test_diff_of_a_long_text():
     began = time.time()
     steps = diff.matcher(old, old.replace("y", " – ").replace("quit", "QUIT")).get_opcodes()
     assert time.time() - began < 10 and len(steps) > 1_000
+
+
+def test_stripping_is_no_search(spark):
+    """A search for white space at the end begins anew at each blank: here some 10^10 steps."""
+    ends = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    rows = [(f"{ends}a b{ends}", "a b"), (" " * 200_000 + "x", "x"), ("x" + " " * 200_000 + "y", "x" + " " * 200_000 + "y"), (ends, ""), ("", ""), (None, None)]
+    began = time.time()
+    got = spark.createDataFrame(rows, "t string, want string").select(evaluation.stripped(F.col("t")).alias("t"), "want").collect()
+    assert time.time() - began < 15 and [r.t for r in got] == [r.want for r in got]
