@@ -92,6 +92,7 @@ BATCHES = [
     "lint_strict",
     "lint_log",
     "lint_stats_by_lang_rule",
+    "character_diffs",
 ]
 
 
