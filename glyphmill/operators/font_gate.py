@@ -6,6 +6,7 @@ depend on the mode alone, so they are resolved once, on the driver, over the few
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable
 
@@ -13,18 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from glyphmill.functions import arrow, fonts
 
 WEIGHTS = {1: 4, 2: 3, 3: 2, 4: 1}
 
 
-def _class(points: Iterable[int]) -> str:
-    """A pattern for one of these characters."""
-    return "[" + "".join(f"\\x{{{cp:x}}}" for cp in points) + "]"
-
-
 class Gate:
     def __init__(self, supported: Iterable[int] | None = None):
         self.mode = "conservative" if supported is None else "explicit"
@@ -69,18 +64,28 @@ class Gate:
     def log(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
         """(id, position, output_position, original, replacement, reason, warning) of each unsupported tracked character."""
         dim = F.broadcast(self.dimension(df.sparkSession).filter("not supported"))
-        # only the characters that are missing leave the row
-        held = F.transform(F.split(text, ""), lambda c, i: F.struct(i.alias("position"), c.alias("ch")))
-        hits = F.filter(held, lambda x: x["ch"].rlike(_class(self.missing)))
-        chars = df.filter(F.col(text).rlike(_class(self.missing))).select(id_col, F.explode(hits).alias("hit")).select(id_col, "hit.*")
+        # only the characters that are missing leave the row, each with its place in the text as it will be
+        missing = re.compile("[" + "".join(re.escape(chr(cp)) for cp in self.missing) + "]") if self.missing else re.compile("(?!)")
+        grows = {chr(cp): -1 if cp in self.dropped else len(self.fallbacks[cp][0]) - 1 if cp in self.fallbacks else 0 for cp in self.missing}
+
+        def hits(x: str | None) -> list[dict] | None:
+            if x is None:
+                return None
+            out, shift = [], 0
+            for m in missing.finditer(x):
+                out.append({"position": m.start(), "output_position": m.start() + shift, "ch": m[0]})
+                shift += grows[m[0]]
+            return out
+
+        kind = pa.list_(pa.struct([("position", pa.int32()), ("output_position", pa.int32()), ("ch", pa.string())]))
+        returns = ArrayType(StructType([StructField("position", IntegerType()), StructField("output_position", IntegerType()), StructField("ch", StringType())]))
+        chars = df.select(id_col, F.explode(arrow.mapped(hits, kind, returns, F.col(text), once=True)).alias("hit")).select(id_col, "hit.*")
         found = chars.join(dim, "ch")
         new = F.when(F.col("dropped"), F.lit("")).otherwise(F.coalesce("replacement", "ch"))
-        before = Window.partitionBy(id_col).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-        shift = F.coalesce(F.sum(F.length(new) - 1).over(before), F.lit(0))
         warning = F.when(F.col("dropped"), F.format_string("Dropped unsupported invisible character %s at position %d", F.concat(F.lit("U+"), F.lpad(F.hex("cp"), 4, "0"), F.lit(" "), F.col("name")), F.col("position"))).when(
             F.col("replacement").isNull(), F.format_string("No fallback for unsupported character %s at position %d; left unchanged", F.concat(F.lit("U+"), F.lpad(F.hex("cp"), 4, "0"), F.lit(" "), F.col("name")), F.col("position"))
         )
-        return found.select(id_col, "position", (F.col("position") + shift).cast("int").alias("output_position"), F.col("ch").alias("original"), new.alias("replacement"), "reason", warning.alias("warning"))
+        return found.select(id_col, "position", "output_position", F.col("ch").alias("original"), new.alias("replacement"), "reason", warning.alias("warning"))
 
     def report(self, df: DataFrame, by: list[str], text: str) -> DataFrame:
         """Tracked characters by group: tier, whether supported, occurrences and first place."""

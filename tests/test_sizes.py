@@ -135,3 +135,16 @@ def test_stripping_is_no_search(spark):
     began = time.time()
     got = spark.createDataFrame(rows, "t string, want string").select(evaluation.stripped(F.col("t")).alias("t"), "want").collect()
     assert time.time() - began < 15 and [r.t for r in got] == [r.want for r in got]
+
+
+def test_font_log_stays_in_the_row(spark):
+    """No array of all characters, no sort by text; of two rows with one id each has its own places."""
+    text = "…a½⁦x‽y"
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (4, "plain")], "id long, text string")
+    log = Gate(range(0x20, 0x7F)).log(df, "id", "text")
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "transform" not in plan
+    got = sorted((r.position, r.output_position, r.original, r.replacement) for r in log.collect())
+    want = [(0, 0, "…", "..."), (2, 4, "½", "1/2"), (3, 7, "⁦", ""), (5, 8, "‽", "?!")]
+    assert got == sorted(want * 2)
+    assert Gate({*range(0x110000)} - {0xD800}).log(df, "id", "text").count() == 0
