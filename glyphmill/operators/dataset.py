@@ -56,13 +56,18 @@ def cross_language_pairs(parallel: DataFrame) -> DataFrame:
     return rows.select(*_pair("cross_language", task, F.col("raw"), F.col("correct"), none, none, None, F.col("source"), F.col("target")))
 
 
-def explanation_pairs(templates: DataFrame, explanations: DataFrame) -> DataFrame:
-    """The first two rows of each (rule, lang) that is explained."""
+def explanation_pairs(templates: DataFrame, explanations: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The first two rows of each (rule, lang) that is explained, with further columns of theirs."""
     first = Window.partitionBy("rule", "lang").orderBy("idx")
-    rows = templates.join(explanations, ["rule", "lang"]).withColumn("rn", F.row_number().over(first)).filter("rn <= 2")
+    rank = F.row_number().over(first)
+    # the last index of each two is found without the texts, so that only texts up to it are moved and sorted
+    two = templates.select("rule", "lang", "idx").join(explanations.select("rule", "lang"), ["rule", "lang"]).withColumn("rn", rank).filter("rn <= 2")
+    last = two.groupBy("rule", "lang").agg(F.max("idx").alias("__last"))
+    few = templates.join(F.broadcast(last), ["rule", "lang"]).filter("idx is null or idx <= __last").drop("__last")
+    rows = few.join(explanations, ["rule", "lang"]).withColumn("rn", rank).filter("rn <= 2")
     label = F.coalesce(language_name(F.col("lang"), ""), F.col("lang"))
     label = F.when(label == "", F.col("lang")).otherwise(label)
-    return rows.select(*_pair("explanation", F.concat(F.lit("Explain why this typographic correction is needed in "), label, F.lit(".")), F.concat(F.lit("Original: "), F.col("raw"), F.lit("\nCorrected: "), F.col("correct")), F.col("explanation"), F.col("rule"), F.col("lang")))
+    return rows.select(*_pair("explanation", F.concat(F.lit("Explain why this typographic correction is needed in "), label, F.lit(".")), F.concat(F.lit("Original: "), F.col("raw"), F.lit("\nCorrected: "), F.col("correct")), F.col("explanation"), F.col("rule"), F.col("lang")), *keep)
 
 
 def counts(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import difflib
 import time
 import tracemalloc
 
+import compare
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill.functions import arrow, diff, extensions
-from glyphmill.operators import evaluation
+from glyphmill.operators import dataset, evaluation
 from glyphmill.operators.font_gate import Gate
 from glyphmill.plans import queries
 
@@ -148,3 +149,18 @@ def test_font_log_stays_in_the_row(spark):
     want = [(0, 0, "…", "..."), (2, 4, "½", "1/2"), (3, 7, "⁦", ""), (5, 8, "‽", "?!")]
     assert got == sorted(want * 2)
     assert Gate({*range(0x110000)} - {0xD800}).log(df, "id", "text").count() == 0
+
+
+def test_explained_pairs_move_few_texts(spark, tmp_path):
+    """The first two of a group keep their own indexes where their texts are the same; ties and missing indexes as in one sort."""
+    texts = [(i, "same" if i % 55 in (1, 11) else f"t{i}", "en", "web") for i in range(600)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.QUERIES["pairs_explanation"](spark, str(tmp_path))
+    con = compare.connection(str(tmp_path))
+    found = con.execute(queries.ORACLE["pairs_explanation"])
+    assert compare.rows(df.columns, df.collect()) == compare.rows([d[0] for d in found.description], found.fetchall())
+
+    templates = spark.createDataFrame([("r", "en-US", i, f"a{i}", "b") for i in (5, 3, None, 9)] + [("q", "en-US", 4, x, "b") for x in "xyz"] + [("p", "en-US", 1, "a", "b"), ("r", None, 1, "a", "b")], "rule string, lang string, idx long, raw string, correct string")
+    why = spark.createDataFrame([("r", "en-US", "w"), ("q", "en-US", "w")], "rule string, lang string, explanation string")
+    got = sorted((r.metadata.rule, -1 if r.idx is None else r.idx) for r in dataset.explanation_pairs(templates, why, keep=("idx",)).collect())
+    assert got == [("q", 4), ("q", 4), ("r", -1), ("r", 3)]
